@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secret_scan
+from . import ann, flac, html_extract, mixing, packing, quality, secret_scan, toxicity
 
 
 def tokenizer_path() -> str:
@@ -32,13 +32,41 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, base), digest.alias("base_sha256"), secret_scan.labelled(F.col("spans")).alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = flac.read(flac.store(table(spark, sf_dir, "documents")))
+    size = F.length("pcm").cast("long")
+    tail = F.crc32(F.substring("pcm", -16, 16)).alias("tail_crc32")
+    whole = (F.col("md5_ok") & F.forall("blocks", lambda b: b["crc_ok"])).alias("whole")
+    return r.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), tail, F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("blocks").alias("n_blocks"), whole)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_secret_scan, op9_mixing)
+    f.__name__: f for f in (op3_best_fit_packing, op4_secret_scan, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_html_extraction, op9_mixing, op10_flac)
 }
 
 _ASSIGN = secret_scan.BASE_RULES[0].regex.replace("'", "''")

@@ -83,11 +83,11 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; words never cross rows."""
+def spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word; words never cross rows. ``between`` marks the bytes that separate words."""
     if not len(raw):
         return (np.zeros(0, np.int64),) * 3
-    word = ~_SPACE[raw]
+    word = ~between[raw]
     before = np.empty(len(raw) + 1, bool)
     before[0], before[1:] = False, word
     after = before[1:].copy()
