@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, flac, html_extract, mixing, packing, quality, secret_scan, toxicity
+from . import ann, flac, html_extract, mixing, ngram_join, packing, quality, secret_scan, substring_dedup, toxicity
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -66,7 +76,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_secret_scan, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_html_extraction, op9_mixing, op10_flac)
+    f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_best_fit_packing, op4_secret_scan, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_html_extraction, op9_mixing, op10_flac)
 }
 
 _ASSIGN = secret_scan.BASE_RULES[0].regex.replace("'", "''")
