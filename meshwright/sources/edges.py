@@ -31,7 +31,9 @@ def read_text_edges(spark: SparkSession, path: str) -> DataFrame:
     return parse_edge_lines(spark.read.text(path))
 
 
-def write_text_edges(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_text_edges(edges: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
+    """One edge a line; ``files`` deals them evenly into so many files."""
+    edges = edges.repartition(files) if files else edges
     edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.mode(mode).text(path)
 
 

@@ -10,6 +10,7 @@ from meshwright.operators import layout
 from meshwright.operators.components import connected_components
 from meshwright.operators.graph import Graph
 from meshwright.plans import programs
+from meshwright.plans.superstep import metrics_frame
 
 
 def both(pairs):
@@ -217,6 +218,6 @@ def test_hybrid_and_metrics(spark):
     assert rows(programs.components_hybrid(g), "v", "component") == rows(programs.components(g), "v", "component")
     metrics = []
     programs.bfs(g, 5, metrics=metrics)
-    assert metrics and not metrics[-1]["active"]
+    assert metrics and not metrics[-1]["active"] and metrics_frame(spark, metrics).count() == len(metrics)
     assert rows(programs.level_counts(programs.bfs(g, 5)), "level", "frontier") == [(0, 1), (1, 1), (2, 1)]
     assert rows(programs.unreached(g, programs.bfs(g, 5)), "v") == [(v,) for v in (0, 1, 2, 3, 4, 8, 9, 10, 11)]

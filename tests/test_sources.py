@@ -6,6 +6,7 @@ import pytest
 
 from meshwright.operators import layout
 from meshwright.operators.graph import Graph
+from meshwright.sources import binary_layout
 from meshwright.sources import edges as sources
 from meshwright.streaming import running_degrees, stream_text_edges
 
@@ -51,6 +52,33 @@ def test_layout_folders(spark, tmp_path):
     assert rows(back) == sorted(pairs) and {"prow", "pcol"} <= set(back.columns)
 
 
+def test_binary_layout(spark, tmp_path):
+    pairs = sorted([(a, (a * 7) % 20) for a in range(20)] + [(3, 4), (3, 4), (0, 19)])
+    g = Graph(spark.createDataFrame(pairs, "src long, dst long"))
+    ranges = layout.partition_ultra(g, 2, 3).cache()
+    files = {r["name"]: bytes(r["content"]) for r in binary_layout.layout_files(g, ranges, "g").collect()} | binary_layout.small_files(g, ranges, "g")
+    assert len(files) == 2 * 6 + 3
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    starts = list(struct.unpack("<3I", files["g_beg-2x3-row-ranger.bin"]))
+    assert starts[0] == 0 and starts[-1] == 20 and len(files["g_beg-2x3-col-ranger.bin"]) == 4 * 4 * 2
+    assert binary_layout.read_metadata(files["g-glb-vert-edge-count.bin"]) == {"min_vert": 0, "max_vert": 19, "edge_count": 23}
+    with pytest.raises(ValueError):
+        binary_layout.read_metadata(struct.pack("<IIq", 5, 5, 1))
+    read = lambda: binary_layout.edges_of_layout(spark.read.format("binaryFile").load(str(tmp_path)), starts)
+    assert rows(read()) == pairs
+    (tmp_path / "g_csr.0_0_of_2x3.bin").write_bytes(bytes(400))
+    with pytest.raises(Exception, match="neighbours"):
+        read().collect()
+
+
+def test_block_trace(spark, tmp_path):
+    (tmp_path / "t.bin").write_bytes(struct.pack("<6q", 5, 3, 5, 9, 10, 3))
+    path = str(tmp_path / "t.bin")
+    assert sorted(r["blk"] for r in binary_layout.read_block_trace(spark, path, 10).collect()) == [3, 5, 9]
+    assert sorted(r["blk"] for r in binary_layout.read_block_trace(spark, path, 10, distinct=False).collect()) == [3, 3, 5, 5, 9]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text(TEXT)
