@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.plans.recovery import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -79,13 +81,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     ends = ranges.join(t, "_s").withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_rest"))
     ends = ends.groupBy("_s").agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("_e"))
     t = t.join(ends, "_s", "left").select("_s", "source_size", "target", "_whole", "_rest", F.col("_e._range").alias("_range"), F.col("_e.before").alias("_before"))
+    # written, the table's size is known: a small one is broadcast by the planner, a large one joined by a shuffle
+    t = written(t, "source-targets")
     edge = narrow.join(t.select("_s", "_range", "_before", "_rest"), "_s").filter(F.shiftright("_key", shift) == F.col("_range"))
     order = Window.partitionBy("_s").orderBy(F.struct("_key", "_id", "_size")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     place = F.struct("_key", "_id", "_size")
     inside = edge.withColumn("_upto", F.col("_before") + F.sum("_size").over(order)).filter(2 * F.col("_upto") - F.col("_size") <= 2 * F.col("_rest"))
     last = inside.groupBy("_s").agg(F.max(place).alias("_last"))
     start = F.struct(F.shiftleft("_range", shift).alias("_key"), F.lit("").alias("_id"), F.lit(-1).cast("long").alias("_size"))
-    t = t.join(last, "_s", "left").select("_s", "source_size", "target", "_whole", F.coalesce("_last", start).alias("_last"))
+    t = written(t.join(last, "_s", "left").select("_s", "source_size", "target", "_whole", F.coalesce("_last", start).alias("_last")), "source-ends")
     out = wide.withColumn("size", size).join(t, "_s", "left")
     once_more = F.struct("_key", "_id", F.col("size").alias("_size")) <= F.col("_last")
     copies = (F.col("_whole") + once_more.cast("long")).alias("copies")
