@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from . import labelled
 from .words import spans, word_hashes
 
-SAMPLE_ROWS = 6000
-BUCKETS, REPEATS, RANK, NEIGHBOURS = 4096, 2, 48, 15
+SAMPLE_ROWS = 5000
+BUCKETS, REPEATS, RANK, NEIGHBOURS = 2048, 2, 48, 9
+#: Votes are weighted by the similarity to this power.
+SHARPNESS = 12
 #: A word repeated counts as much as so many trigrams.
 REPEAT_WEIGHT = 8
 THRESHOLD = 0.3
@@ -34,7 +36,7 @@ def counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = np.zeros((n, BUCKETS + REPEATS), np.float32)
     if len(raw) > 2:
         b = raw.astype(np.uint32)
-        h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
+        h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)
         row = np.repeat(np.arange(n, dtype=np.int64), np.diff(off))
         inside = row[:-2] == row[2:]
         out[:, :BUCKETS] = np.bincount((row[:-2] * BUCKETS + h)[inside], minlength=n * BUCKETS).reshape(n, BUCKETS)
@@ -84,7 +86,8 @@ class Model:
         for i in range(0, n, 256):
             sims = v[i : i + 256] @ self.vectors.T
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(float) ** 2
+            weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(float)
+            weight = (weight / np.maximum(weight.max(1, keepdims=True), 1e-12)) ** SHARPNESS
             total = weight.sum(1)
             out[i : i + 256] = np.where(total > 0, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
         return np.clip(out, 0, 1)
@@ -97,7 +100,8 @@ def train(features: np.ndarray, y: np.ndarray, seed: int = 3) -> Model:
     df = (features > 0).sum(0)
     idf = np.log((1 + len(y)) / (1 + df)).astype(np.float32) + np.float32(0.1)
     idf[BUCKETS:] = REPEAT_WEIGHT
-    a = np.log1p(features) * idf
+    a = np.log1p(features)
+    a *= idf
     rank = min(RANK, *a.shape)
     rng = np.random.Generator(np.random.PCG64(seed))
     q = rng.standard_normal((a.shape[1], rank + 8)).astype(np.float32)
@@ -107,7 +111,7 @@ def train(features: np.ndarray, y: np.ndarray, seed: int = 3) -> Model:
     _, vectors = np.linalg.eigh(small.T @ small)
     project = (q @ vectors[:, ::-1][:, :rank]).astype(np.float32)
     model = Model(idf, project, np.zeros(0), y.astype(float), float(y.mean()))
-    model.vectors = model.place(features)
+    model.vectors = (v := a @ project) / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
     return model
 
 
