@@ -264,12 +264,13 @@ def _postings(state: DataFrame, ranges: int) -> DataFrame:
             df = np.concatenate([unplanes(e, 4) for e in batch.column(3).to_pylist()]) if many else h
             doc, n = (np.repeat(batch.column(c).to_numpy(), many) for c in (0, 1))
             salt = avalanche(doc.view(U64)) % (df // U64(HOT) + U64(1))
+            n = np.where(df >= HOT, -n, n)  # marks entries whose sets are dealt to several ranges
             where = (avalanche(h + salt) % U64(ranges)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cut = np.searchsorted(where[order], np.arange(ranges + 1))
             rows = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int32()), pa.array([h[o].tobytes() for _, o in rows], pa.binary()), pa.array([planes(doc[o].view(U64), 8) for _, o in rows], pa.binary()), pa.array([planes(n[o].astype(U64), 8) for _, o in rows], pa.binary())],
+                [pa.array([b for b, _ in rows], pa.int32()), pa.array([h[o].tobytes() for _, o in rows], pa.binary()), pa.array([planes(doc[o].view(U64), 8) for _, o in rows], pa.binary()), pa.array([planes(n[o].view(U64), 8) for _, o in rows], pa.binary())],
                 ["range", "h", "doc", "n"],
             )
 
@@ -289,8 +290,9 @@ def _candidates(postings: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
         left, right = [], []
-        for g in np.unique(size[(size > 1) & (size <= GROUP)]).tolist():
-            f = first[size == g]
+        big = (size > GROUP) | (n[first] < 0)
+        for g in np.unique(size[(size > 1) & ~big]).tolist():
+            f = first[(size == g) & ~big]
             i, j = np.triu_indices(g, 1)
             left.append((f[:, None] + i).ravel())
             right.append((f[:, None] + j).ravel())
@@ -302,7 +304,6 @@ def _candidates(postings: DataFrame) -> DataFrame:
         new = np.flatnonzero(np.concatenate([[True], (doc[left][1:] != doc[left][:-1]) | (doc[right][1:] != doc[right][:-1])])) if len(left) else np.zeros(0, int)
         count = np.diff(np.append(new, len(left)))
         left, right = left[new], right[new]
-        big = size > GROUP
         members = _ragged(first[big], size[big])
         hub = np.repeat(first[big], size[big])
         star = np.unique(np.stack([doc[hub], doc[members]], 1), axis=0) if len(hub) else np.zeros((0, 2), np.int64)
