@@ -211,7 +211,7 @@ def match(a: Node, b: Node) -> int:
                 own, other = mine[0], theirs[0]
                 if own.read() and own.read() == other.read():
                     own.constant += 1
-                elif own.tag not in PARAGRAPHS:
+                if own.tag not in PARAGRAPHS:
                     size[n][m] += match(own, other)
             else:
                 texts = {o.read() for o in theirs}

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import labelled
-from .words import U64, spans, word_hashes
+from .words import U64, avalanche, spans, word_hashes
 
 SAMPLE_ROWS = 8000
 BITS = 18
@@ -27,7 +27,7 @@ VOTERS, FEATURES = 80, 256
 #: Penalty on the classifier's squared weights.
 RIDGE = 0.3
 #: A lexicon entry is found in so many learned rows of class 1, and so large a share of the rows that hold it is of class 1.
-MIN_SUPPORT, PRECISION = 5, 0.85
+MIN_SUPPORT, PRECISION = 5, 0.9
 THRESHOLD = 0.7
 MODULUS, REST = 3, 1
 PATTERNS = 3
@@ -130,6 +130,21 @@ def _entries(row: np.ndarray, term: np.ndarray, y: np.ndarray, ranked: np.ndarra
     return ranked[chosen]
 
 
+def _distinct(held: list[np.ndarray]) -> np.ndarray:
+    """One row of each group of near-copies, which would make any word of theirs look telling: rows that agree in a band of min-hashes with an earlier row go."""
+    seeds = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (2, 4), dtype=np.uint64) | U64(1)
+    seen: set[tuple] = set()
+    keep = np.ones(len(held), bool)
+    for i, terms_ in enumerate(held):
+        if not len(terms_):
+            continue
+        mixed = avalanche(terms_.astype(U64)[:, None, None] * seeds)
+        bands = {(b, *m) for b, m in enumerate(mixed.min(0).tolist())}
+        keep[i] = not bands & seen
+        seen |= bands
+    return keep
+
+
 def train(data: list[bytes], y: np.ndarray, voters: int = VOTERS, features: int = FEATURES) -> Model:
     """Without rows of both classes every score is the share of class 1, or 0.5 without rows."""
     if not len(y) or y.min() == y.max():
@@ -137,12 +152,15 @@ def train(data: list[bytes], y: np.ndarray, voters: int = VOTERS, features: int
         return Model(np.zeros(1 << BITS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     surface = np.array([list(d[:PATTERNS]) for d in data], bool)
     held = [np.frombuffer(d, "<i4", offset=PATTERNS) for d in data]
+    first = _distinct(held)
+    if y[first].any() and not y[first].all():
+        held, surface, y = [h for h, k in zip(held, first) if k], surface[first], y[first]
     row, term = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     df1, df0 = np.bincount(term[y[row] == 1], minlength=1 << BITS), np.bincount(term[y[row] == 0], minlength=1 << BITS)
     expected = (df0 + 0.5) * n1 / n0
     gain = (df1 - expected) / np.sqrt(expected + 1)
-    gain[(df1 < max(MIN_SUPPORT, n1 // 100)) | (df1 < PRECISION * (df1 + df0))] = 0
+    gain[(df1 < max(MIN_SUPPORT, n1 // 50)) | (df1 < PRECISION * (df1 + df0))] = 0
     lexicon = _entries(row, term, y, np.flatnonzero(gain > 0)[np.argsort(-gain[gain > 0], kind="stable")][: 40 * voters], voters)
     if not len(lexicon):
         return Model(np.zeros(1 << BITS), float(np.log(n1 / n0)))
