@@ -24,9 +24,14 @@ class Graph:
     def vertices(self) -> DataFrame:
         return self.edges.sparkSession.range(self.n).withColumnRenamed("id", "v")
 
+    @property
+    def parts(self) -> int:
+        """Parts that edges and states are dealt into; a stated number, as only equal numbers join without a shuffle."""
+        return int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def by(self, column: str) -> DataFrame:
         """Edges dealt by one end and kept, so that each superstep joins them without a shuffle; lost parts are recomputed."""
-        return self.edges.select("src", "dst").repartition(column).persist()
+        return self.edges.select("src", "dst").repartition(self.parts, column).persist()
 
 
 def stats(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from .superstep import run, superstep
 def bfs(g: Graph, root: int, max_depth: int | None = None, metrics: list[dict] | None = None) -> DataFrame:
     """(v, level) of every vertex reached from ``root`` along out-edges. A root outside 0..n-1 reaches nothing."""
     edges = g.by("src")
-    state = g.vertices.select("v", F.when(F.col("v") == root, 0).cast("int").alias("level")).repartition("v")
+    state = g.vertices.select("v", F.when(F.col("v") == root, 0).cast("int").alias("level")).repartition(g.parts, "v")
 
     def step(s: DataFrame, i: int) -> DataFrame:
         return superstep(s, edges, F.col("level") == i - 1, F.lit(i), F.min, {"level": F.coalesce("level", "msg").cast("int")})
@@ -48,7 +48,7 @@ def multi_source(g: Graph, sources: list[int]) -> DataFrame:
     own = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("v") == s, F.lit(1 << i)).otherwise(0).cast("long") for i, s in enumerate(sources)])
     entry = lambda level, mask: F.array(F.struct(F.lit(level).cast("int").alias("level"), mask.alias("mask")))
     none = F.array().cast("array<struct<level:int,mask:bigint>>")
-    state = g.vertices.select("v", own.alias("seen"), own.alias("front")).withColumn("history", F.when(F.col("seen") != 0, entry(0, F.col("seen"))).otherwise(none)).repartition("v")
+    state = g.vertices.select("v", own.alias("seen"), own.alias("front")).withColumn("history", F.when(F.col("seen") != 0, entry(0, F.col("seen"))).otherwise(none)).repartition(g.parts, "v")
 
     def step(s: DataFrame, i: int) -> DataFrame:
         fresh = F.coalesce(new_bits(F.col("msg"), F.col("seen")), F.lit(0).cast("long"))
@@ -83,13 +83,14 @@ def pagerank(g: Graph, iterations: int, damping: float = 0.85) -> DataFrame:
     """
     edges = g.by("dst")
     start = F.lit(1.0) / F.lit(max(g.n, 1))
-    state = degrees(g).select("v", reciprocal(F.col("degree")).alias("inv"), start.alias("rank")).repartition("v")
-    state = cut(state)
+    # the vertices' fixed part stands apart, so that a round names the last ranks once and rounds chain into one plan
+    fixed = cut(degrees(g).select("v", reciprocal(F.col("degree")).alias("inv")).repartition(g.parts, "v"))
+    state = fixed.withColumn("rank", start)
     for i in range(1, iterations + 1):
         share = state.select(F.col("v").alias("_v"), (F.col("rank") * F.col("inv")).alias("_c"))
         sums = share.join(edges, F.col("_v") == F.col("dst")).groupBy(F.col("src").alias("_to")).agg(F.sum("_c").alias("_s"))
-        state = state.join(sums, F.col("v") == F.col("_to"), "left").select("v", "inv", damped(F.coalesce("_s", F.lit(0.0)), damping).alias("rank"))
-        if i % 5 == 0 or i == iterations:
+        state = fixed.join(sums, F.col("v") == F.col("_to"), "left").select("v", "inv", damped(F.coalesce("_s", F.lit(0.0)), damping).alias("rank"))
+        if i % 10 == 0 or i == iterations:
             state = cut(state)
     edges.unpersist()
     return state.select("v", "rank")
@@ -126,7 +127,7 @@ def kcore(g: Graph, k: int, metrics: list[dict] | None = None) -> DataFrame:
     Degrees count out-edges, repeated edges and loops; meant for symmetric graphs, where survivors are the (k+1)-core.
     """
     edges = g.by("src")
-    state = degrees(g).withColumn("round", F.lit(None).cast("int")).repartition("v")
+    state = degrees(g).withColumn("round", F.lit(None).cast("int")).repartition(g.parts, "v")
 
     def step(s: DataFrame, i: int) -> DataFrame:
         out = F.col("round").isNull() & (F.col("degree") <= k)
