@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import parts
+from .sizing import parts, small_batches
 from .words import U64, bucket_of, pack_sorted, planes, unpack_sorted, unplanes
 
 #: Chunks and hash ranges for each 16 MB of stored input.
@@ -24,7 +24,7 @@ CHUNKS, RANGES = 8, 4
 
 def chunked(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _key): the documents dealt into chunks; rows of equal id and text share one."""
-    keys = parts(docs) * CHUNKS
+    keys = parts(small_batches(docs)) * CHUNKS
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return chosen.withColumn("_key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(keys)).cast("int")).repartition("_key")
 

@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import small_batches
 from .words import slices, text_buffers
 
 BLOCK = 192
 RATE = 8000
 #: Bytes of payload coded at a time; the working memory is some tens of times that.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 # Fixed values of the format.
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
@@ -402,7 +403,7 @@ def store(docs: DataFrame) -> DataFrame:
                 media = encode([t.ljust(max(1, -(-len(t) // BLOCK)) * BLOCK, b" ") for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    chosen = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return chosen.mapInArrow(write, "doc_id bigint, n_bytes bigint, media binary")
 
 
@@ -419,7 +420,7 @@ def read(rows: DataFrame, media: str = "media") -> DataFrame:
     """
     new = [c.split()[0] for c in ("rate int", "bits", "pcm", "blocks", "md5_ok", "feature")]
     kept = [c for c in rows.columns if c not in new]
-    chosen = rows.select(*[rows[f"`{c}`"] for c in kept])
+    chosen = small_batches(rows).select(*[rows[f"`{c}`"] for c in kept])
     at = kept.index(media)
 
     def one(s: Stream) -> dict:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import parts
+from .sizing import PART_BYTES, parts, small_batches
 
 #: Pages aligned together at most, and partners that each page is compared with.
 GROUP, PARTNERS = 16, 3
@@ -284,8 +284,8 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """
     kept = [c for c in pages.columns if c not in ("html", "text")]
     host = F.lower(F.regexp_extract(F.coalesce(pages["url"].cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    chosen = pages.select(*[pages[f"`{c}`"] for c in kept], pages["html"].cast("string").alias("_html"), host.alias("_host"), F.xxhash64(pages["page_id"], pages["url"]).alias("_at"))
-    dealt = chosen.repartitionByRange(parts(pages), "_host", "_at").sortWithinPartitions("_host", "_at")
+    chosen = small_batches(pages).select(*[pages[f"`{c}`"] for c in kept], pages["html"].cast("string").alias("_html"), host.alias("_host"), F.xxhash64(pages["page_id"], pages["url"]).alias("_at"))
+    dealt = chosen.repartitionByRange(parts(pages, per=PART_BYTES // 4), "_host", "_at").sortWithinPartitions("_host", "_at")
     at_html, at_host = len(kept), len(kept) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

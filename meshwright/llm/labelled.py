@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import small_batches
 from .words import slices, text_buffers
 
 #: Bytes of text scored at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def held_out(modulus: int, rest: int):
@@ -29,7 +30,7 @@ def drawn(labels: DataFrame, target: str, modulus: int, rest: int, rows: int) ->
 
 def sample(docs: DataFrame, chosen: DataFrame, extract: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     """Features and labels of the drawn rows. ``chosen`` is bounded by its limit, so it can be broadcast; only features reach the driver."""
-    kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    kept = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +47,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
     """All columns of ``docs`` plus held_out, score and predicted (1 if score >= threshold)."""
     new = ("held_out", "score", "predicted")
     kept = [c for c in docs.columns if c not in new]
-    chosen = docs.select(*[docs[f"`{c}`"] for c in kept], docs["text"].cast("string").alias("_text"))
+    chosen = small_batches(docs).select(*[docs[f"`{c}`"] for c in kept], docs["text"].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

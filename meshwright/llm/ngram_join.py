@@ -41,7 +41,7 @@ PERCENT = 80
 GROUP = 24
 #: Sets to a block of a large candidate component; rows to an index range before it is salted.
 BLOCK, HOT = 2048, 1 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Trie segments are no longer than this, so that a walk can leave a long one.
 SEGMENT = 64
 

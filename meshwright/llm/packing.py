@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import small_batches
+
 MAX_LENGTH = 2048
 OPEN_BINS = 2048
 #: Documents to a packing part.
@@ -134,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, end_id
             n = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names[:n])
 
-    chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    chosen = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return chosen.mapInArrow(cut, SCHEMA + (", ids binary" if with_ids else ""))
 
 

@@ -17,7 +17,7 @@ from .words import slices, spans, text_buffers, window_hashes, word_hashes
 
 WINDOW = 35
 #: Bytes of text hashed at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _windows(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
