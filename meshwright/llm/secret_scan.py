@@ -141,9 +141,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def postings(keyed: DataFrame, grams: list[str]) -> DataFrame:
     """The inverted index: (gram, _key) for each of ``grams`` that a text holds, letters folded."""
-    folded = keyed.select("_key", F.lower("_text").alias("_low"))
     held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]))
-    return folded.select("_key", held.alias("_held")).filter(F.size("_held") > 0).select("_key", F.explode("_held").alias("gram"))
+    # an outer explode: an inner one infers a filter on the array, which is then computed once more for it
+    found = keyed.select("_key", F.lower("_text").alias("_low")).select("_key", F.explode_outer(held).alias("gram"))
+    return found.filter("gram is not null")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
