@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 K = 5
 #: Vectors that the centres are fitted on, at most; vectors to a list, about; lists, at most.
-SAMPLE, LIST, MOST_LISTS = 16_384, 400, 1024
+SAMPLE, LIST, MOST_LISTS = 16_384, 800, 1024
 #: Lists are probed until they hold this share of the true neighbours of TRIALS sampled vectors within the sample.
 COVER, TRIALS = 0.97, 512
 #: Vectors scanned by one task, about.
@@ -93,9 +93,10 @@ def scan_list(x: np.ndarray, q: np.ndarray, skip: np.ndarray, k: int, columns: i
     d = len(q)
     best = np.zeros(0)
     kept, dists = [], []
-    step = 256
-    for at in range(0, len(alive_all), step):
+    at, step = 0, 256  # a first chunk sets the limit, larger ones follow
+    while at < len(alive_all):
         alive = alive_all[at : at + step]
+        at, step = at + step, 1024
         limit = np.partition(best, k - 1)[k - 1] if len(best) >= k else np.inf
         part = np.zeros(len(alive))
         for a in range(0, d, columns):
