@@ -4,9 +4,9 @@ Method: pages become DOM trees. Trees of same-host pages are aligned by simple
 tree matching (largest order-preserving match of children with equal labels,
 runs of equally labelled siblings taken as one repeated slot). Nodes whose
 aligned partners hold the same text are template; varying slots are content.
-The page's text is its content slot, an article or main element if there is
-one, without template and without parts whose tag, role or class says that they
-are menus, notices, adverts, forms or comments.
+The page's text is its content slot, a main element, an article or what holds
+all articles if there are any, without template and without parts whose tag,
+role or class says that they are menus, notices, adverts, forms or comments.
 
 Pages are dealt by (host, hash) ranges and aligned in runs of at most GROUP
 pages, so a host with a third of all pages is spread over many tasks.
@@ -142,28 +142,36 @@ def parse(page: str) -> Node:
     return root
 
 
-def _gather(node: Node, out: list[str], prune: bool, in_article: bool = False) -> None:
+def _level(node: Node) -> int:
+    """OUTSIDE of any slot; in a SLOT, around its articles; in an ARTICLE, or in a main without any."""
+    return ARTICLE if node.tag == "article" or node.tag == "main" and not _find(node, ONLY_ARTICLE) else SLOT if node.tag == "main" else OUTSIDE
+
+
+def _gather(node: Node, out: list[str], prune: bool, level: int = 0) -> None:
     """Pieces of text with a space at every block's edge; with ``prune``, content only."""
     for c in node.children:
         if isinstance(c, str):
             out.append(c)
             continue
         if prune:
-            if c.kind == "drop" or c.constant and c.tag not in INLINE and not (in_article and c.tag in PARAGRAPHS):
+            if c.kind == "drop" or c.constant and c.tag not in INLINE and not (level == ARTICLE and c.tag in PARAGRAPHS):
                 out.append(" ")
                 continue
             if c.tag == "header":
-                for h in _find(c, HEADINGS) if in_article else ():
-                    out += [" ", h.read(), " "]
+                for h in _find(c, HEADINGS) if level else ():
+                    if level == ARTICLE or not (c.constant or h.constant):
+                        out += [" ", h.read(), " "]
                 continue
         if c.tag in INLINE:
-            _gather(c, out, prune, in_article)
+            _gather(c, out, prune, level)
         else:
             out.append(" ")
-            _gather(c, out, prune, in_article or c.tag in ("article", "main"))
+            _gather(c, out, prune, max(level, _level(c)) if prune else level)
             out.append(" ")
 
 
+OUTSIDE, SLOT, ARTICLE = 0, 1, 2
+SLOTS, ONLY_ARTICLE = frozenset(("article", "main")), frozenset(("article",))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p blockquote pre li dt dd td th tr table ul ol dl figure figcaption br hr".split())
 
@@ -232,29 +240,45 @@ def _clear(node: Node, most: int) -> None:
             _clear(c, most)
 
 
+def _kept(node: Node, level: int) -> str:
+    out: list[str] = []
+    _gather(node, out, True, level)
+    return " ".join("".join(out).split())
+
+
 def _weight(node: Node) -> int:
     out: list[str] = []
-    _gather(node, out, True, True)
+    _gather(node, out, True, ARTICLE)
     return len("".join(out))
 
 
+def _common(root: Node, n: int) -> Node:
+    """The smallest element that holds all ``n`` outermost slots with text."""
+    node = root
+    while True:
+        inner = [c for c in node.children if not isinstance(c, str) and c.kind != "drop"]
+        down = next((c for c in inner if sum(bool(_kept(f, ARTICLE)) for f in _find(c, SLOTS)) == n), None)
+        if down is None:
+            return node
+        node = down
+
+
 def content(root: Node) -> str:
-    """Text of the content slot: the article or main element that holds most, else the element under which most varying text lies."""
-    found = _find(root, frozenset(("article", "main")))
-    found = [f if f.tag == "article" else max(_find(f, frozenset(("article",))), key=_weight, default=f) for f in found]
-    node = max(found, key=_weight, default=None)
-    if node is None or not _weight(node):
-        node = next(iter(_find(root, frozenset(("body",)))), root)
-        whole = _weight(node)
-        while whole:
-            inner = [c for c in node.children if not isinstance(c, str) and c.kind != "drop" and c.tag not in INLINE]
-            best = max(inner, key=_weight, default=None)
-            if best is None or best.tag in PARAGRAPHS or _weight(best) < 0.85 * whole:
-                break
-            node = best
-    out: list[str] = []
-    _gather(node, out, True, node.tag in ("article", "main"))
-    return " ".join("".join(out).split())
+    """Text of the content slot: the main or article element, of several the smallest element that holds them all; else the element under which most varying text lies."""
+    found = [f for f in _find(root, SLOTS) if _kept(f, ARTICLE)]
+    if len(found) == 1:
+        return _kept(found[0], _level(found[0]))
+    if found:
+        return _kept(_common(root, len(found)), SLOT)
+    node = next(iter(_find(root, frozenset(("body",)))), root)
+    whole = _weight(node)
+    while whole:
+        inner = [c for c in node.children if not isinstance(c, str) and c.kind != "drop" and c.tag not in INLINE]
+        best = max(inner, key=_weight, default=None)
+        if best is None or best.tag in PARAGRAPHS or _weight(best) < 0.85 * whole:
+            break
+        node = best
+    return _kept(node, OUTSIDE)
 
 
 def extract_group(pages: list[str], host: bool = True) -> list[str]:

@@ -345,6 +345,25 @@ def test_wrapper_without_article():
     assert html_extract.extract_group([make(1)] * 3) == [html_extract.content(html_extract.parse(make(1)))] * 3  # copies are no template
 
 
+SLOTS = {
+    "around an article": ("<main><h1>Head</h1><p>lead</p><article><p>body</p></article></main>", "Head lead body"),
+    "a teaser": ("<main><p>First long paragraph.</p><article><p>see also</p></article><p>Second long one.</p></main>", "First long paragraph. see also Second long one."),
+    "parts": ("<div>Menu</div><div><header><h1>Head</h1></header><article><p>one</p></article><p>between</p><article><p>two, longer</p></article></div>", "Head one between two, longer"),
+    "an empty one": ("<main><article></article></main><article><p>text</p></article>", "text"),
+}
+
+
+@pytest.mark.parametrize("name", SLOTS)
+def test_whole_slot(name):
+    source, want = SLOTS[name]
+    assert html_extract.extract_group([page(source)]) == [want]
+
+
+def test_template_around_an_article():
+    pages = [page(f"<main><h2>Our blog</h2><h1>Head {i}</h1><article><p>text {i * 7}</p></article></main>") for i in range(5)]
+    assert html_extract.extract_group(pages) == [f"Head {i} text {i * 7}" for i in range(5)]
+
+
 def test_tree_matching():
     a, b = html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"), html_extract.parse("<div><p>x</p><h1>h</h1><ul><li>1<li>3</ul></div>")
     assert html_extract.match(a, a) >= html_extract.match(b, a) > 1
