@@ -5,8 +5,9 @@ tree matching (largest order-preserving match of children with equal labels,
 runs of equally labelled siblings taken as one repeated slot). Nodes whose
 aligned partners hold the same text are template; varying slots are content.
 The page's text is its content slot, a main element, an article or what holds
-all articles if there are any, without template and without parts whose tag,
-role or class says that they are menus, notices, adverts, forms or comments.
+all articles if there are any, else the body, without template and without
+parts whose tag, role or class says that they are menus, notices, adverts,
+forms or comments.
 
 Pages are dealt by (host, hash) ranges and aligned in runs of at most GROUP
 pages, so a host with a third of all pages is spread over many tasks.
@@ -246,12 +247,6 @@ def _kept(node: Node, level: int) -> str:
     return " ".join("".join(out).split())
 
 
-def _weight(node: Node) -> int:
-    out: list[str] = []
-    _gather(node, out, True, ARTICLE)
-    return len("".join(out))
-
-
 def _common(root: Node, n: int) -> Node:
     """The smallest element that holds all ``n`` outermost slots with text."""
     node = root
@@ -264,21 +259,13 @@ def _common(root: Node, n: int) -> Node:
 
 
 def content(root: Node) -> str:
-    """Text of the content slot: the main or article element, of several the smallest element that holds them all; else the element under which most varying text lies."""
+    """Text of the content slot: the main or article element, of several the smallest element that holds them all; else the body."""
     found = [f for f in _find(root, SLOTS) if _kept(f, ARTICLE)]
     if len(found) == 1:
         return _kept(found[0], _level(found[0]))
     if found:
         return _kept(_common(root, len(found)), SLOT)
-    node = next(iter(_find(root, frozenset(("body",)))), root)
-    whole = _weight(node)
-    while whole:
-        inner = [c for c in node.children if not isinstance(c, str) and c.kind != "drop" and c.tag not in INLINE]
-        best = max(inner, key=_weight, default=None)
-        if best is None or best.tag in PARAGRAPHS or _weight(best) < 0.85 * whole:
-            break
-        node = best
-    return _kept(node, OUTSIDE)
+    return _kept(next(iter(_find(root, frozenset(("body",)))), root), OUTSIDE)
 
 
 def extract_group(pages: list[str], host: bool = True) -> list[str]:

@@ -359,6 +359,15 @@ def test_whole_slot(name):
     assert html_extract.extract_group([page(source)]) == [want]
 
 
+def test_siblings_of_the_longest_part_stay():
+    for times in (1, 100):
+        long = " ".join(["long text"] * times)
+        source = page(f"<h1>Title</h1><p>lead</p><div><p>{long}</p></div><div><p>end</p></div>")
+        assert html_extract.extract_group([source]) == [f"Title lead {long} end"]
+    pages = [page(f"<div class='top'>Our site</div><h1>Title {i}</h1><div><p>{i} {long}</p></div>") for i in range(4)]
+    assert html_extract.extract_group(pages) == [f"Title {i} {i} {long}" for i in range(4)]
+
+
 def test_template_around_an_article():
     pages = [page(f"<main><h2>Our blog</h2><h1>Head {i}</h1><article><p>text {i * 7}</p></article></main>") for i in range(5)]
     assert html_extract.extract_group(pages) == [f"Head {i} text {i * 7}" for i in range(5)]
