@@ -9,8 +9,9 @@ all articles if there are any, else the body, without template and without
 parts whose tag, role or class says that they are menus, notices, adverts,
 forms or comments.
 
-Pages are dealt by (host, hash) ranges and aligned in runs of at most GROUP
-pages, so a host with a third of all pages is spread over many tasks.
+Pages are dealt by host, the pages of a large one by hash into parts of HOST
+pages at most on average, so a host with a third of all pages is spread over
+many tasks. The pages of a part are aligned in runs of GROUP and more.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .sizing import PART_BYTES, parts, small_batches
 
-#: Pages aligned together at most, and partners that each page is compared with.
+#: Pages aligned together at least, if there are so many, and partners that each page is compared with.
 GROUP, PARTNERS = 16, 3
+#: Pages of a host that are not cut into parts; hosts that are, at most (the largest ones); pages of a part in memory at once, up to twice as many.
+HOST, MOST_HOSTS, HELD = 256, 1 << 16, 512
 
 # Elements and names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,23 +271,57 @@ def content(root: Node) -> str:
     return _kept(next(iter(_find(root, frozenset(("body",)))), root), OUTSIDE)
 
 
-def extract_group(pages: list[str], host: bool = True) -> list[str]:
-    """Texts of pages of one host; ``host`` False takes them as unrelated."""
-    trees = [parse(p) if p else None for p in pages]
-    n = len(trees)
-    bodies = {}
-    for i, t in enumerate(trees):
-        if t is not None:
-            bodies[i] = content(t)
-    for i, t in enumerate(trees):
-        if t is None:
-            continue
-        # copies of one page show no template: partners have another text
-        partners = [(i + d) % n for d in range(1, n) if (i + d) % n in bodies and bodies[(i + d) % n] != bodies[i]][:PARTNERS] if host else []
-        for p in partners:
-            match(t, trees[p])
-        _clear(t, len(partners) if len(partners) > 1 else 0)
-    return ["" if t is None else content(t) for t in trees]
+def _clean(tree: Node, others: list[Node]) -> str:
+    """The page's text without what it shares with all of two partners or more."""
+    for o in others:
+        match(tree, o)
+    _clear(tree, len(others) if len(others) > 1 else 0)
+    return content(tree)
+
+
+def extract_group(pages: list[str], host: bool = True, group: int = GROUP) -> list[str]:
+    """Texts of pages of one host; ``host`` False takes them as unrelated.
+
+    Pages are aligned in runs of ``group`` to twice as many less one. Partners have other texts than the page and, where
+    there are enough, than each other; those that a run lacks come from the others. Copies show no template.
+    """
+    n = len(pages)
+    plain: list[str | None] = [None] * n
+    texts = [""] * n
+    samples: dict[str, int] = {}  # a few texts of the whole group, and a page of each
+    short = []
+    runs = max(1, n // group)
+    for r in range(runs):
+        at = range(r * n // runs, (r + 1) * n // runs)
+        trees = {i: parse(pages[i]) for i in at if pages[i]}
+        for i, t in trees.items():
+            plain[i] = texts[i] = content(t)
+            if len(samples) <= PARTNERS:
+                samples.setdefault(texts[i], i)
+        for i, t in trees.items() if host else ():
+            ring = [j for j in (*range(i + 1, at.stop), *range(at.start, i)) if j in trees and plain[j] != plain[i]]
+            first = dict((plain[j], j) for j in reversed(ring))  # the nearest page of each other text
+            near = sorted(first.values(), key=ring.index)[:PARTNERS]
+            if len(near) < PARTNERS and runs > 1:
+                short.append((i, near))
+            else:
+                near += [j for j in ring if j not in near][: PARTNERS - len(near)]
+                texts[i] = _clean(t, [trees[j] for j in near])
+    known: dict[tuple, str] = {}
+    refs: dict[int, Node] = {}
+    for i, near in short:
+        have = {plain[i], *(plain[j] for j in near)}
+        near = [*near, *(j for t, j in samples.items() if t not in have)][:PARTNERS]
+        if len(near) < 2:  # one other text in all: its copies, as far as there are any
+            near += [j for j in range(n) if pages[j] and plain[j] != plain[i] and j not in near][: PARTNERS - len(near)]
+        key = (pages[i], *near)
+        if key not in known:
+            for j in near:
+                if j not in refs:
+                    refs[j] = parse(pages[j])
+            known[key] = _clean(parse(pages[i]), [refs[j] for j in near])
+        texts[i] = known[key]
+    return texts
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
@@ -292,25 +329,66 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
 
     A null or empty page gives an empty text. Pages whose url has no host are taken one by one. Rows repeat as they come
     (copies are never each other's template). Columns named text are replaced; an empty table gives no rows.
+
+    A page's partners are drawn from its host's pages, or from a part of HOST / 2 to HOST of them by hash, whatever the
+    partitions and batches of the table. A copy gets no template only where its part has no two pages with other texts.
     """
     kept = [c for c in pages.columns if c not in ("html", "text")]
     host = F.lower(F.regexp_extract(F.coalesce(pages["url"].cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    chosen = small_batches(pages).select(*[pages[f"`{c}`"] for c in kept], pages["html"].cast("string").alias("_html"), host.alias("_host"), F.xxhash64(pages["page_id"], pages["url"]).alias("_at"))
-    dealt = chosen.repartitionByRange(parts(pages, per=PART_BYTES // 4), "_host", "_at").sortWithinPartitions("_host", "_at")
-    at_html, at_host = len(kept), len(kept) + 1
+    chosen = small_batches(pages).select(*[pages[f"`{c}`"] for c in kept], pages["html"].cast("string").alias("_html"), host.alias("_host"), F.xxhash64(pages["page_id"], pages["url"], pages["html"]).alias("_at"))
+    large = pages.select(host.alias("_host")).groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") > HOST)
+    large = large.orderBy(F.desc("_pages"), "_host").limit(MOST_HOSTS)
+    cuts = F.ceil(F.coalesce("_pages", F.lit(1)) / HOST)
+    # the upper bits, as the lower ones order the pages of a part
+    chosen = chosen.join(F.broadcast(large), "_host", "left").withColumn("_part", F.pmod(F.shiftright("_at", 20), cuts))
+    chosen = chosen.select(*[F.col(f"`{c}`") for c in kept], "_html", "_host", "_part", "_at")
+    dealt = chosen.repartition(parts(pages, per=PART_BYTES // 4), "_host", "_part").sortWithinPartitions("_host", "_part", "_at", "_html")
+    at_html, at_host, at_part = len(kept), len(kept) + 1, len(kept) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the part in hand, carried over batches
+        done: list[pa.RecordBatch] = []
+        own = None
+
+        def take(most: int) -> None:
+            rows, left = [], most
+            while held and left:
+                b = held.pop(0)
+                if b.num_rows > left:
+                    held.insert(0, b.slice(left))
+                    b = b.slice(0, left)
+                rows.append(b)
+                left -= b.num_rows
+            texts = extract_group([x for b in rows for x in b.column(at_html).to_pylist()], bool(own[0]), group)
+            i = 0
+            for b in rows:
+                done.append(pa.RecordBatch.from_arrays([*b.columns[:at_html], pa.array(texts[i : i + b.num_rows], pa.string())], [*kept, "text"]))
+                i += b.num_rows
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+            done.clear()
+
         for batch in batches:
-            hosts = batch.column(at_host).to_pylist()
-            texts: list[str] = []
+            keys = list(zip(batch.column(at_host).to_pylist(), batch.column(at_part).to_pylist()))
             i = 0
-            while i < len(hosts):
+            while i < len(keys):
                 j = i + 1
-                while j < len(hosts) and j - i < group and hosts[j] == hosts[i]:
+                while j < len(keys) and keys[j] == keys[i]:
                     j += 1
-                texts += extract_group(batch.column(at_html)[i:j].to_pylist(), bool(hosts[i]))
+                if keys[i] != own:
+                    if held:
+                        take(HELD * 2)
+                    own = keys[i]
+                held.append(batch.slice(i, j - i))
+                while sum(b.num_rows for b in held) >= HELD * 2:
+                    take(HELD)
                 i = j
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at_html], pa.array(texts, pa.string())], [*kept, "text"])
+            if done:
+                yield from out()
+        if held:
+            take(HELD * 2)
+            yield from out()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:at_html]) + ", text string"
     return dealt.mapInArrow(run, schema)

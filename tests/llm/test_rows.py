@@ -359,6 +359,38 @@ def test_whole_slot(name):
     assert html_extract.extract_group([page(source)]) == [want]
 
 
+def templated(i):
+    return page(f"<div class='top'><p>Our site</p></div><div class='box'><h2>Latest</h2></div><div class='text'><p>Body {i} alpha</p><p>More {i * 7}</p></div><div class='end'><p>All rights kept</p></div>")
+
+
+@pytest.mark.parametrize("n", [17, 18, 33])
+def test_template_at_the_tail_of_runs(spark, n):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", templated(i)) for i in range(n)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {i: f"Body {i} alpha More {i * 7}" for i in range(n)}
+
+
+def test_template_among_copies():
+    pages = [templated(0)] * 60 + [templated(i) for i in range(1, 5)]
+    assert html_extract.extract_group(pages) == [f"Body {i} alpha More {i * 7}" for i in [0] * 60 + [1, 2, 3, 4]]
+
+
+def test_template_whatever_the_layout(spark):
+    """A large host, small ones and pages without one, in one partition and many, in small and large batches."""
+    rows = [(i, f"http://{'big' if i % 3 else f's{i % 40}'}.example/{i}", templated(i)) for i in range(1500)] + [(i, None, templated(i)) for i in range(1500, 1503)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Body {i} alpha More {i * 7}" for i in range(1500)}
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", None
+    try:
+        old = spark.conf.get(key)
+        for parts, batch in ((1, 1000), (40, 7)):
+            spark.conf.set(key, str(batch))
+            got = {r["page_id"]: r["text"] for r in html_extract.extract(df.repartition(parts)).collect()}
+            assert {i: x for i, x in got.items() if i < 1500} == want
+            assert all("Our site" in got[i] for i in range(1500, 1503)) and len(got) == 1503
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_siblings_of_the_longest_part_stay():
     for times in (1, 100):
         long = " ".join(["long text"] * times)
