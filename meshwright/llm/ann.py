@@ -87,6 +87,15 @@ def probes_needed(sample: np.ndarray, centre: np.ndarray, k: int, cover: float =
     return int(np.quantile(np.concatenate(ranks), cover)) + 1
 
 
+def distinct_rows(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the rows that repeat an id with equal components, in order of first sight; 0.0 and -0.0 are equal."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, v
+    first = list({(i, r.tobytes()): n for n, i, r in zip(range(len(ids) - 1, -1, -1), ids[::-1].tolist(), v[::-1] + 0.0)}.values())
+    first.sort()
+    return ids[first], v[first]
+
+
 def scan_list(x: np.ndarray, q: np.ndarray, skip: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
     """Rows of ``x`` that survive as possible members of the ``k`` nearest to ``q`` (both rotated, of length 1)."""
     alive_all = np.flatnonzero(~skip)
@@ -173,8 +182,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
 
     row = "list int, id bigint, raw binary"
     placed = base.mapInArrow(assign(1, None), row)
-    sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # one row per list, MOST_LISTS at most
-    cuts = {w: -(-c // block) for w, c in sizes.items()}
+    counts = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect()  # one row per list, MOST_LISTS at most
+    sizes = {r["list"]: r["ids"] for r in counts}
+    cuts = {r["list"]: -(-r["n"] // block) for r in counts}
     cut = F.element_at(F.create_map(*[F.lit(x) for p in cuts.items() for x in p]), F.col("list"))
     probing = asked.mapInArrow(assign(probes, sizes), row)
     data = placed.withColumn("sub", F.pmod(F.xxhash64("id"), cut).cast("int")).withColumn("query", F.lit(False))
@@ -184,7 +194,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
         ask = t.column("query").to_numpy()
         ids = t.column("id").to_numpy()
         v = np.frombuffer(b"".join(t.column("raw").to_pylist()), float).reshape(-1, d)
-        x_ids, x_raw = ids[~ask], v[~ask]
+        x_ids, x_raw = distinct_rows(ids[~ask], v[~ask])
         out: list[tuple] = []
         if len(x_raw) and ask.any():
             x = unit(x_raw) @ turn

@@ -99,6 +99,27 @@ def test_neighbour_edges(spark):
     assert ann.search(df.limit(0), df).count() == 0
 
 
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8))
+    near = int(np.argsort(-(x @ x[0]) / np.linalg.norm(x, axis=1))[1])
+    once = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    more = spark.createDataFrame([(near, x[near].tolist())] * 400, once.schema)
+    found = [[(r["rank"], r["vec_id"]) for r in ann.search(v, once.filter("vec_id = 0")).orderBy("rank").collect()] for v in (once, once.unionByName(more))]
+    assert len(found[0]) == 5 and found[0] == found[1]
+
+
+def test_repeated_rows_do_not_fill_a_list(spark):
+    """A list of few vectors, one of them many times: the next list is probed too."""
+    rng = np.random.default_rng(4)
+    a = np.eye(8)[0] + 0.01 * rng.standard_normal((3, 8))
+    b = np.eye(8)[1] + 0.1 * rng.standard_normal((300, 8))
+    rows = [(i, r.tolist()) for i, r in enumerate([*a, *b])] + [(1, a[1].tolist())] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id = 0"), list_size=300).orderBy("rank").collect()
+    assert len(got) == 5 and {got[0]["vec_id"], got[1]["vec_id"]} == {1, 2}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
