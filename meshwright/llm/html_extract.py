@@ -174,7 +174,8 @@ def _gather(node: Node, out: list[str], prune: bool, level: int = 0) -> None:
             out.append(" ")
 
 
-OUTSIDE, SLOT, ARTICLE = 0, 1, 2
+#: The last is an article again, its template paragraphs left out.
+OUTSIDE, SLOT, ARTICLE, STRICT = 0, 1, 2, 3
 SLOTS, ONLY_ARTICLE = frozenset(("article", "main")), frozenset(("article",))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p blockquote pre li dt dd td th tr table ul ol dl figure figcaption br hr".split())
@@ -264,10 +265,11 @@ def _common(root: Node, n: int) -> Node:
 def content(root: Node) -> str:
     """Text of the content slot: the main or article element, of several the smallest element that holds them all; else the body."""
     found = [f for f in _find(root, SLOTS) if _kept(f, ARTICLE)]
-    if len(found) == 1:
-        return _kept(found[0], _level(found[0]))
     if found:
-        return _kept(_common(root, len(found)), SLOT)
+        node, level = (found[0], _level(found[0])) if len(found) == 1 else (_common(root, len(found)), SLOT)
+        whole, varying = _kept(node, level), _kept(node, STRICT)
+        # paragraphs shared with every partner are template, unless most of the text is: then the pages are near-copies
+        return varying if 2 * len(varying) > len(whole) else whole
     return _kept(next(iter(_find(root, frozenset(("body",)))), root), OUTSIDE)
 
 

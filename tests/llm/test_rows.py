@@ -400,6 +400,17 @@ def test_siblings_of_the_longest_part_stay():
     assert html_extract.extract_group(pages) == [f"Title {i} {i} {long}" for i in range(4)]
 
 
+def test_template_paragraphs_in_articles():
+    def make(i, text):
+        return page(f"<article><h1>Head {i}</h1><p>{text}</p><p>Sign up today</p></article>")
+
+    texts = [f"text {i * 7} of page {i}" for i in range(5)]
+    assert html_extract.extract_group([make(i, t) for i, t in enumerate(texts)]) == [f"Head {i} {t}" for i, t in enumerate(texts)]
+    # near-copies are no template of each other
+    same = "the same long text on every page"
+    assert html_extract.extract_group([make(i, same) for i in range(5)]) == [f"Head {i} {same} Sign up today" for i in range(5)]
+
+
 def test_template_around_an_article():
     pages = [page(f"<main><h2>Our blog</h2><h1>Head {i}</h1><article><p>text {i * 7}</p></article></main>") for i in range(5)]
     assert html_extract.extract_group(pages) == [f"Head {i} text {i * 7}" for i in range(5)]
