@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.operators.components import connected_components
@@ -393,7 +393,21 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its class's smallest; a null id stays."""
+    """One row of ``docs`` per class: of the rows with the class's smallest doc_id, that with the smallest text hash.
+
+    A null text comes last. Null ids take no part in the join and have no class: their rows stay, but of those with
+    equal texts (of a word at least) one.
+    """
+    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = [F.col("text").isNull(), F.xxhash64("text"), F.col("text"), F.xxhash64(*plain)]
+    # ranked before the join, so that repeats go before the exchange; the join is by the same key
+
+    def one(rows: DataFrame, key: str) -> DataFrame:
+        ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        return ranked.filter("_row = 1").drop("_row")
+
     firsts = link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_first"), "left_semi")
-    return kept.unionByName(docs.filter(docs["doc_id"].isNull()))
+    kept = one(docs.filter("doc_id is not null"), "doc_id").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi")
+    nameless = docs.filter("doc_id is null")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.unionByName(one(nameless.filter(words), "text")).unionByName(nameless.filter(~words))

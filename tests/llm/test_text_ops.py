@@ -69,6 +69,16 @@ def test_join_matches_brute_force(spark, monkeypatch, block, group, hot):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_one_row_of_each_class(spark):
+    t = "a b c d e f g h i j"
+    rows = [(3, t, 1), (3, t, 1), (3, t, 2), (3, None, 1), (3, "x y z", 1), (5, t, 1), (7, None, 1), (7, None, 1), (None, t, 1), (None, t, 2), (None, "other", 1), (None, None, 1), (None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = ngram_join.first_of_each(docs).collect()
+    assert sorted((r["doc_id"] for r in got if r["doc_id"] is not None)) == [3, 7] and next(r for r in got if r["doc_id"] == 3)["text"] in (t, "x y z")
+    assert sorted(str(r["text"]) for r in got if r["doc_id"] is None) == ["None", "None", t, "other"]
+    assert ngram_join.first_of_each(docs.repartition(5)).exceptAll(ngram_join.first_of_each(docs)).count() == 0
+
+
 def test_join_repeats_nulls_and_empty(spark):
     t = "a b c d e f g h i j"
     docs = spark.createDataFrame([(5, t), (5, t), (3, t.upper()), (None, t), (9, None)], "doc_id long, text string")
