@@ -2,8 +2,11 @@
 
 Frames of many streams are coded side by side: step t of the loop handles
 sample t of every frame, so the cost is a few array operations per sample
-index, however many streams there are. Frame starts are found by their sync
-code, header CRC-8 and running frame number; each frame's CRC-16 is verified.
+index, however many streams there are. A stream is walked frame by frame: the
+next one begins where the bits of the last one end and its CRC-16 closes. Only
+behind a damaged frame is the next one searched for, by sync code, CRC-8 and frame
+number. To work side by side, every place that looks like a header is decoded
+ahead; the walk takes those that it comes to.
 
 Supported: mono, 4 to 24 bits, constant, verbatim, fixed and LPC subframes, both
 Rice codings with any partition order and escapes, fixed block size.
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import Columns
 from .sizing import small_batches
 from .words import slices, text_buffers
 
 BLOCK = 192
 RATE = 8000
-#: Bytes of payload coded at a time; the working memory is some tens of times that.
+#: Bytes of payload or stream coded at a time; the working memory is some tens of times that, besides a text's own bytes.
 SLICE = 1 << 19
 
 # Fixed values of the format.
@@ -162,9 +166,12 @@ def encode(payloads: list[bytes], lpc: tuple[tuple[int, ...], int] | None = None
     x = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8).reshape(-1, BLOCK)
     frames = np.array([len(p) // BLOCK for p in payloads])
     first = np.cumsum(frames) - frames
-    data, bounds = encode_frames(x, np.arange(len(x)) - np.repeat(first, frames), lpc)
-    raw, out = data.tobytes(), []
-    sizes = np.diff(bounds)
+    number = np.arange(len(x)) - np.repeat(first, frames)
+    step = SLICE // BLOCK
+    pieces = [encode_frames(x[i : i + step], number[i : i + step], lpc) for i in range(0, len(x), step)]
+    raw, out = b"".join(d.tobytes() for d, _ in pieces), []
+    sizes = np.concatenate([np.diff(b) for _, b in pieces])
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
     for p, f, n in zip(payloads, first.tolist(), frames.tolist()):
         own = sizes[f : f + n]
         signed = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
@@ -209,11 +216,11 @@ class _Bits:
         return self.next_one[at].astype(np.int64) - at
 
 
-def _residuals(bits: _Bits, at: np.ndarray, block: int, order: int) -> np.ndarray:
-    """Rice-coded residuals of frames that share block size and predictor order, in step."""
+def _residuals(bits: _Bits, at: np.ndarray, block: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rice-coded residuals of frames that share block size and predictor order, in step; where each ends; which use reserved codes."""
     method, parts = bits.read(at, 2), bits.read(at + 2, 4)
-    if (method > 1).any() or ((block >> parts) << parts != block).any() or ((block >> parts) < order).any():
-        raise ValueError("reserved residual coding")
+    bad = (method > 1) | ((block >> parts) << parts != block) | ((block >> parts) < order)
+    method, parts = np.where(bad, 0, method), np.where(bad, 0, parts)
     width = 4 + method
     at = at + 6
     each = block >> parts
@@ -245,26 +252,34 @@ def _residuals(bits: _Bits, at: np.ndarray, block: int, order: int) -> np.ndarra
         u = (q << kk) | bits.read(p, kk)
         out[plain, t - order] = (u >> 1) ^ -(u & 1)
         at[plain] = p + kk
-    return out
+    return out, at, bad
 
 
-def _subframes(bits: _Bits, at: np.ndarray, block: int, bps: int) -> np.ndarray:
-    """Samples of frames of one block size and width, their subframes beginning at bit ``at``."""
+def _subframes(bits: _Bits, at: np.ndarray, block: int, bps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples of frames of one block size and width, their subframes beginning at bit ``at``; the bit after each; which use reserved codes."""
     kind, wasted = bits.read(at + 1, 6), bits.read(at + 7, 1)
+    bad = bits.read(at, 1) == 1
     at = at + 8
     extra = np.where(wasted == 1, bits.unary(at) + 1, 0)
     at = at + extra
+    bad |= extra >= bps
+    extra = np.minimum(extra, bps - 1)
     x = np.zeros((len(at), block), np.int64)
+    end = at.copy()
     for form in np.unique(kind * 64 + extra).tolist():
         code, lost = divmod(form, 64)
         own = np.flatnonzero((kind == code) & (extra == lost))
         a, width = at[own], bps - lost
-        if code == 0:
+        order = code - 8 if 8 <= code <= 12 else code - 31 if code >= 32 else 0
+        if 1 < code < 8 or 12 < code < 32 or order > block:
+            bad[own] = True
+        elif code == 0:
             x[own] = bits.signed(a, width)[:, None]
+            end[own] = a + width
         elif code == 1:
             x[own] = bits.signed(a[:, None] + np.arange(block) * width, width)
-        elif 8 <= code <= 12 or code >= 32:
-            order = code - 8 if code <= 12 else code - 31
+            end[own] = a + block * width
+        else:
             warm = bits.signed(a[:, None] + np.arange(order) * width, width) if order else np.zeros((len(a), 0), np.int64)
             a = a + order * width
             if code <= 12:
@@ -272,12 +287,13 @@ def _subframes(bits: _Bits, at: np.ndarray, block: int, bps: int) -> np.ndarray:
             else:
                 precision = bits.read(a, 4) + 1
                 shift = bits.signed(a + 4, 5)
-                if (precision == 16).any() or (shift < 0).any():
-                    raise ValueError("reserved predictor")
+                bad[own] |= (precision == 16) | (shift < 0)
+                shift = np.maximum(shift, 0)
                 a = a + 9
                 coefs = bits.signed(a[:, None] + np.arange(order) * precision[:, None], precision[:, None])
                 a = a + order * precision
-            r = _residuals(bits, a, block, order)
+            r, end[own], reserved = _residuals(bits, a, block, order)
+            bad[own] |= reserved
             if order == 0:
                 x[own] = r
             else:
@@ -290,17 +306,15 @@ def _subframes(bits: _Bits, at: np.ndarray, block: int, bps: int) -> np.ndarray:
                         s += c[j] * y[t - 1 - j]
                     y[t] = r[:, t - order] + (s >> shift)
                 x[own] = y.T
-        else:
-            raise ValueError(f"reserved subframe type {code}")
         x[own] <<= lost
-    return x
+    return x, end, bad
 
 
-def _frame_starts(data: np.ndarray, begin: int, end: int) -> tuple[list[int], list[int]]:
-    """Starts of a stream's frames and of their subframes: sync code, valid CRC-8 and the next frame number."""
+def _headers(data: np.ndarray, begin: int, end: int, most: int, bps: int) -> list[tuple[int, int, int, int]]:
+    """(start, number, body, samples) of every place in a stream that reads as a frame header with a valid CRC-8 and fits its stream."""
     d = data[begin:end]
-    at = np.flatnonzero((d[:-5] == 0xFF) & ((d[1:-4] & 0xFE) == 0xF8)) if len(d) > 5 else np.zeros(0, np.int64)
-    starts, bodies = [], []
+    at = np.flatnonzero((d[:-5] == 0xFF) & (d[1:-4] == 0xF8)) if len(d) > 5 else np.zeros(0, np.int64)
+    found = []
     for s in at.tolist():
         h = d[s : s + 16].tobytes()
         lead = h[4]
@@ -310,17 +324,48 @@ def _frame_starts(data: np.ndarray, begin: int, end: int) -> tuple[list[int], li
         number = lead if n == 1 else lead & (0x7F >> n)
         for b in h[5 : 4 + n]:
             number = number << 6 | (b & 0x3F)
-        more = {6: 1, 7: 2}.get(h[2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(h[2] & 15, 0)
-        size = 4 + n + more
-        if number != len(starts) or len(h) <= size:
+        code = h[2] >> 4
+        wide = {6: 1, 7: 2}.get(code, 0)
+        size = 4 + n + wide + {12: 1, 13: 2, 14: 2}.get(h[2] & 15, 0)
+        if len(h) <= size or h[3] >> 4 or BITS.get(h[3] >> 1 & 7, bps) != bps:
+            continue
+        samples = int.from_bytes(h[4 + n : 4 + n + wide], "big") + 1 if wide else SIZES.get(code, 0)
+        if not 0 < samples <= most:
             continue
         c = 0
         for b in h[:size]:
             c = int(_CRC8[c ^ b])
         if c == h[size]:
-            starts.append(begin + s)
-            bodies.append(begin + s + size + 1)
-    return starts, bodies
+            found.append((begin + s, number, begin + s + size + 1, samples))
+    return found
+
+
+def _decoded(data: np.ndarray, start: np.ndarray, body: np.ndarray, samples: np.ndarray, bps: np.ndarray, limit: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Samples, end and soundness (no reserved code, CRC-16 closes) of the frames that may begin at ``start``, window by window.
+
+    A frame of more than 8 bytes a sample, beyond what any encoder writes, counts as damaged.
+    """
+    n = len(start)
+    blocks: list = [None] * n
+    ends, sound = np.zeros(n, np.int64), np.zeros(n, bool)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(start, start[i] + SLICE)))
+        low, high = int(start[i]), min(len(data), int(start[j - 1]) + 64 + 8 * int(samples[i:j].max()))
+        part = data[low:high]
+        bits = _Bits(part)
+        for size, width in {(int(a), int(b)) for a, b in zip(samples[i:j], bps[i:j])}:
+            own = i + np.flatnonzero((samples[i:j] == size) & (bps[i:j] == width))
+            x, end, bad = _subframes(bits, (body[own] - low) * 8, size, width)
+            stop = (end + 7) // 8 + 2
+            fits = ~bad & (stop <= np.minimum(high, limit[own]) - low)
+            whole = np.zeros(len(own), bool)
+            whole[fits] = _crc(part, start[own[fits]] - low, stop[fits], True) == 0  # a range with its own CRC at the end has CRC 0
+            ends[own], sound[own] = stop + low, whole
+            for f, row in zip(own.tolist(), x.astype(np.int32)):
+                blocks[f] = row
+        i = j
+    return blocks, ends, sound
 
 
 class Stream:
@@ -330,65 +375,83 @@ class Stream:
         self.rate, self.bps, self.samples, self.offsets, self.block_ok, self.md5_ok = rate, bps, samples, offsets, block_ok, md5_ok
 
 
-def decode(media: list[bytes]) -> list[Stream]:
-    """Decodes many streams side by side. A stream that isn't FLAC, or uses what isn't supported, raises ValueError.
-
-    A frame whose CRC-16 fails is decoded as far as its bits go and flagged, so one bad block leaves the others whole.
+def _info(m: bytes) -> tuple[int, int, int, int, bytes, int] | None:
+    """Rate, bits, samples, samples to a block, MD5 and the first frame's place; None for what isn't a mono FLAC stream."""
+    if m[:4] != b"fLaC" or len(m) < 42 or m[4] & 0x7F:
+        return None
+    packed = int.from_bytes(m[18:26], "big")
+    rate, channels, bps, total = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
+    if channels != 1 or bps > 24:
+        return None
+    at = 4
+    while at + 4 <= len(m):
+        last, size = m[at] >> 7, int.from_bytes(m[at + 1 : at + 4], "big")
+        at += 4 + size
+        if last:
+            return rate, bps, total, struct.unpack(">H", m[10:12])[0], m[26:42], at
+    return None
+
+
+def decode(media: list[bytes]) -> list[Stream | None]:
+    """Decodes many streams side by side; None for what isn't FLAC or isn't mono of up to 24 bits.
+
+    A frame whose CRC-16 fails is decoded as far as its bits go and flagged. Behind it the walk goes on at the next header
+    of the next number, or of a later one whose frame is sound; frames passed over are flagged blocks of zeros, so that
+    one bad block leaves the others whole and in their places.
     """
     data = np.frombuffer(b"".join(media), np.uint8)
-    info, starts, ends, bodies, owner = [], [], [], [], []
-    base = 0
-    for i, m in enumerate(media):
-        if m[:4] != b"fLaC" or len(m) < 42 or m[4] & 0x7F:
-            raise ValueError("not a FLAC stream")
-        packed = int.from_bytes(m[18:26], "big")
-        rate, channels, bps, total = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
-        if channels != 1:
-            raise ValueError("only mono is supported")
-        info.append((rate, bps, total, m[26:42], struct.unpack(">H", m[8:10])[0]))
-        at = 4
-        while True:
-            last, size = m[at] >> 7, int.from_bytes(m[at + 1 : at + 4], "big")
-            at += 4 + size
-            if last:
-                break
-        s, b = _frame_starts(data, base + at, base + len(m))
-        starts += s
-        bodies += b
-        ends += [*s[1:], base + len(m)][: len(s)]
-        owner += [i] * len(s)
+    infos = [_info(m) for m in media]
+    rows, owner, base, begins = [], [], 0, []
+    for i, (m, info) in enumerate(zip(media, infos)):
+        begins.append(base)
+        if info:
+            own = _headers(data, base + info[5], base + len(m), info[3], info[1])
+            rows += own
+            owner += [i] * len(own)
         base += len(m)
-    starts, ends, bodies, owner = (np.array(v, np.int64) for v in (starts, ends, bodies, owner))
-    ok = _crc(data, starts, ends, True) == 0  # a range with its own CRC at the end has CRC 0
-    code = data[starts + 2] >> 4 if len(starts) else np.zeros(0, np.uint8)
-    sizes = np.array([SIZES.get(c, 0) for c in range(16)])[code]
-    for f in np.flatnonzero((code == 6) | (code == 7)).tolist():
-        tail = {12: 1, 13: 2, 14: 2}.get(int(data[starts[f] + 2] & 15), 0)
-        e = int(bodies[f]) - 1 - tail
-        sizes[f] = int(data[e - 1]) + 1 if code[f] == 6 else int(data[e - 2]) * 256 + int(data[e - 1]) + 1
-    width = np.array([BITS.get(c, 0) for c in range(8)])[data[starts + 3] >> 1 & 7] if len(starts) else np.zeros(0, int)
-    width = np.where(width == 0, np.array([i[1] for i in info])[owner], width)
-    bits = _Bits(data)
-    blocks: list = [None] * len(starts)
-    for size, bps in {(int(a), int(b)) for a, b in zip(sizes, width)}:
-        own = np.flatnonzero((sizes == size) & (width == bps))
-        x = _subframes(bits, bodies[own] * 8, size, bps)
-        for f, row in zip(own.tolist(), x):
-            blocks[f] = row
+    start, number, body, samples = (np.array(c, np.int64) for c in (zip(*rows) if rows else ((),) * 4))
+    limit = np.array([begins[i] + len(media[i]) for i in owner], np.int64)
+    blocks, ends, sound = _decoded(data, start, body, samples, np.array([infos[i][1] for i in owner], np.int64), limit)
     bounds = np.searchsorted(owner, np.arange(len(media) + 1))
-    out = []
-    for i, (rate, bps, total, md5, _) in enumerate(info):
-        a, b = bounds[i], bounds[i + 1]
-        samples = np.concatenate(blocks[a:b]) if b > a else np.zeros(0, np.int64)
-        offsets = np.cumsum(sizes[a:b]) - sizes[a:b]
-        n = -(-bps // 8)
-        raw = samples.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
-        whole = len(samples) == total if total else True
-        good = whole and (md5 == bytes(16) or hashlib.md5(raw).digest() == md5)
-        out.append(Stream(rate, bps, samples, offsets, ok[a:b], good))
+    out: list[Stream | None] = []
+    for i, info in enumerate(infos):
+        if info is None:
+            out.append(None)
+            continue
+        rate, bps, total, block, md5, first = info
+        a, b = int(bounds[i]), int(bounds[i + 1])
+        place = {int(s): a + j for j, s in enumerate(start[a:b])}
+        at, n, taken, ok = begins[i] + first, 0, [], []
+        stop = begins[i] + len(media[i])
+        while at < stop:
+            f = place.get(at)
+            if f is None or number[f] != n:  # damage: the next header in order, or a sound frame further on
+                after = range(int(np.searchsorted(start[a:b], at)) + a, b)
+                f = next((j for j in after if number[j] == n or number[j] > n and sound[j]), None)
+                if f is None:
+                    break
+            for _ in range(n, min(int(number[f]), n + (stop - at))):  # a frame takes a byte at least
+                taken.append(np.zeros(block, np.int32))
+                ok.append(False)
+            taken.append(blocks[f])
+            ok.append(bool(sound[f]))
+            n = int(number[f]) + 1
+            at = int(ends[f]) if sound[f] else int(start[f]) + 1
+        x = np.concatenate(taken) if taken else np.zeros(0, np.int32)
+        sizes = np.array([len(t) for t in taken], np.int64)
+        check = hashlib.md5()
+        for j in range(0, len(x), SLICE):
+            check.update(_bytes(x[j : j + SLICE], bps))
+        good = (len(x) == total or not total) and (md5 == bytes(16) or check.digest() == md5)
+        out.append(Stream(rate, bps, x, np.cumsum(sizes) - sizes, np.array(ok, bool), good))
     return out
 
 
+def _bytes(x: np.ndarray, bps: int) -> bytes:
+    """Samples as little-endian signed integers of whole bytes."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : -(-bps // 8)]).tobytes()
+
+
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as UTF-8, padded with spaces to a positive multiple of BLOCK bytes, as a FLAC stream.
 
@@ -407,32 +470,41 @@ def store(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(write, "doc_id bigint, n_bytes bigint, media binary")
 
 
-PCM = "rate int, bits int, pcm binary, blocks array<struct<sample_offset:bigint,n_samples:int,crc_ok:boolean>>, md5_ok boolean, feature string"
+#: The new columns of a decoded table.
+PCM = {"rate": "int", "bits": "int", "pcm": "binary", "blocks": "array<struct<sample_offset:bigint,n_samples:int,crc_ok:boolean>>", "md5_ok": "boolean", "feature": "string", "valid": "boolean"}
 
 
 def read(rows: DataFrame, media: str = "media") -> DataFrame:
-    """All columns of ``rows`` plus rate, bits, pcm, blocks, md5_ok and feature, decoded from the binary column ``media``.
+    """All columns of ``rows`` plus rate, bits, pcm, blocks, md5_ok, feature and valid, decoded from the binary column ``media``.
 
     pcm holds 8-bit samples as unsigned bytes (sample + 128), wider ones as little-endian signed integers. blocks has the
     first sample and length of each frame, in order, and whether its checksum holds. feature is made of whole numbers:
-    samples, sum, sum of squares, sign changes and peak. A null gives nulls; what isn't FLAC fails the job. Columns of
-    ``rows`` by the new names are replaced.
+    samples, sum, sum of squares, sign changes and peak. What isn't FLAC, or isn't supported, has valid false and nulls
+    in the other new columns; a null has nulls in all. Long streams are decoded window by window. Rows repeat as they
+    come; an empty table gives no rows. Columns of ``rows`` by the new names are replaced, all others stay.
     """
-    new = [c.split()[0] for c in ("rate int", "bits", "pcm", "blocks", "md5_ok", "feature")]
-    kept = [c for c in rows.columns if c not in new]
-    chosen = small_batches(rows).select(*[rows[f"`{c}`"] for c in kept])
-    at = kept.index(media)
-
-    def one(s: Stream) -> dict:
-        x, n = s.samples, -(-s.bps // 8)
-        pcm = (x + 128).astype(np.uint8).tobytes() if s.bps == 8 else x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
-        flips = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-        feature = f"n={len(x)};sum={int(x.sum())};sq={int((x * x).sum())};flips={flips};peak={int(np.abs(x).max()) if len(x) else 0}"
-        sizes = np.diff(np.append(s.offsets, len(x)))
+    given = Columns(rows, PCM)
+    chosen = small_batches(given.rows).select(*given.kept())
+    at = chosen.columns.index(given.at(media))
+    names = [*chosen.columns, *PCM]
+
+    def one(s: Stream | None) -> dict:
+        if s is None:
+            return {"valid": False}
+        n, total, square, flips, peak, before = len(s.samples), 0, 0, 0, 0, None
+        pcm = []
+        for j in range(0, n, SLICE):
+            x = s.samples[j : j + SLICE].astype(np.int64)
+            pcm.append((x + 128).astype(np.uint8).tobytes() if s.bps == 8 else _bytes(x, s.bps))
+            below = x < 0
+            flips += int(np.count_nonzero(below[1:] != below[:-1])) + int(before is not None and before != below[0])
+            total, square, peak, before = total + int(x.sum()), square + int((x * x).sum()), max(peak, int(np.abs(x).max())), below[-1]
+        feature = f"n={n};sum={total};sq={square};flips={flips};peak={peak}"
+        sizes = np.diff(np.append(s.offsets, n))
         blocks = [{"sample_offset": o, "n_samples": z, "crc_ok": bool(k)} for o, z, k in zip(s.offsets.tolist(), sizes.tolist(), s.block_ok)]
-        return {"rate": s.rate, "bits": s.bps, "pcm": pcm, "blocks": blocks, "md5_ok": bool(s.md5_ok), "feature": feature}
+        return {"rate": s.rate, "bits": s.bps, "pcm": b"".join(pcm), "blocks": blocks, "md5_ok": bool(s.md5_ok), "feature": feature, "valid": True}
 
-    kind = pa.struct([("rate", pa.int32()), ("bits", pa.int32()), ("pcm", pa.binary()), ("blocks", pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("crc_ok", pa.bool_())]))), ("md5_ok", pa.bool_()), ("feature", pa.string())])
+    kind = pa.struct([("rate", pa.int32()), ("bits", pa.int32()), ("pcm", pa.binary()), ("blocks", pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("crc_ok", pa.bool_())]))), ("md5_ok", pa.bool_()), ("feature", pa.string()), ("valid", pa.bool_())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -443,12 +515,12 @@ def read(rows: DataFrame, media: str = "media") -> DataFrame:
                 values = part.column(at).to_pylist()
                 found = iter(decode([v for v in values if v is not None]))
                 made = pa.array([None if v is None else one(next(found)) for v in values], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, *made.flatten()], [*kept, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made.flatten()], names)
 
     import pyarrow.compute  # noqa: F401
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema) + ", " + PCM
-    return chosen.mapInArrow(parse, schema)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema] + [f"{k} {v}" for k, v in PCM.items()])
+    return given.named(chosen.mapInArrow(parse, schema), *PCM)
 
 
 def blocks(decoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -246,9 +246,97 @@ def test_flac_many_frames_and_damage():
     bad[-60] ^= 8
     (s,) = flac.decode([bytes(bad)])
     assert not s.md5_ok and (~s.block_ok).sum() == 1
-    for junk in (b"", b"RIFF" + bytes(60), m[:20]):
-        with pytest.raises(ValueError):
-            flac.decode([junk])
+    assert flac.decode([b"", b"RIFF" + bytes(60), m[:20]]) == [None] * 3
+    hurt = bytearray(m)  # a frame's header: it is passed over, all others keep their places
+    at = bytes(m).index(b"\xff\xf8\x14\x02\x05")
+    hurt[at + 4] ^= 1
+    (s,) = flac.decode([bytes(hurt)])
+    assert (~s.block_ok).sum() == 1 and not s.block_ok[5] and len(s.offsets) == 2500
+    got = (s.samples + 128).astype(np.uint8).tobytes()
+    assert got[: 5 * 192] == p[: 5 * 192] and got[6 * 192 :] == p[6 * 192 :]
+
+
+def _plain(media):
+    """A second decoder, bit by bit, of mono streams with fixed, verbatim and constant subframes: samples of each frame."""
+    pos = 8 * 42
+    total = int.from_bytes(media[18:26], "big") & ((1 << 36) - 1)
+    bits = "".join(f"{b:08b}" for b in media)
+
+    def take(n, signed=False):
+        nonlocal pos
+        v = int(bits[pos : pos + n], 2) if n else 0
+        pos += n
+        return v - (1 << n) if signed and n and v >> (n - 1) else v
+
+    out, frames = [], []
+    while len(out) < total:
+        assert take(16) == 0xFFF8
+        code, _, _, _ = take(4), take(4), take(4), take(4)
+        more = f"{take(8):08b}".index("0")
+        pos += 8 * max(0, more - 1)
+        block = take(8) + 1 if code == 6 else {1: 192}[code]
+        pos += 8 + 1
+        kind, wasted = take(6), take(1)
+        assert not wasted
+        if kind == 0:
+            x = [take(8, True)] * block
+        elif kind == 1:
+            x = [take(8, True) for _ in range(block)]
+        else:
+            order = kind - 8
+            x = [take(8, True) for _ in range(order)]
+            assert take(2) == 0 and take(4) == 0
+            k = take(4)
+            for _ in range(block - order):
+                q = bits.index("1", pos) - pos
+                pos += q + 1
+                u = q << k | take(k)
+                e = (u >> 1) ^ -(u & 1)
+                x.append(e + sum(c * x[-1 - j] for j, c in enumerate(flac.FIXED[order])))
+        pos = -(-pos // 8) * 8 + 16
+        out += x
+        frames.append(block)
+    assert pos == len(bits)
+    return out, frames
+
+
+def _framed(n, samples):
+    """A frame of verbatim 8-bit samples."""
+    x = np.array([n])
+    code, size = flac._number(x)
+    head = bytes([0xFF, 0xF8, 0x60, 2]) + code[0, : size[0]].tobytes() + bytes([len(samples) - 1])
+    head += bytes([int(flac._crc(np.frombuffer(head, np.uint8), np.array([0]), np.array([len(head)]), False)[0])])
+    frame = head + b"\x02" + bytes(samples)
+    return frame + int(flac._crc(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]), True)[0]).to_bytes(2, "big")
+
+
+def test_flac_headers_inside_frames():
+    hard = ("a" * 192 * 254 + " ߿" * 3 + "@C\x7f}^`T" + " ߿" * 58 + "  ").encode()
+    hard = hard.ljust(-(-len(hard) // 192) * 192, b" ") + b"b" * 192 * 3
+    (s,) = flac.decode(flac.encode([hard]))
+    assert (s.samples + 128).astype(np.uint8).tobytes() == hard and s.md5_ok and s.block_ok.all()
+    rng = np.random.default_rng(5)
+    lead = [_framed(i, [7, 1]) for i in range(2046)]
+    for _ in range(200):  # frames whose samples hold whole frames of the number that comes next
+        first, n = int(rng.choice([0, 126, 2046])), 4
+        frames, want = lead[:first], [7, 1] * first
+        for i in range(first, first + n):
+            inner = _framed(i + 1, rng.integers(0, 256, int(rng.integers(1, 30))).tolist())
+            x = (rng.integers(0, 256, 20).tolist() + list(inner) + [1] * 100)[:100]
+            frames.append(_framed(i, x))
+            want += [v - 256 if v > 127 else v for v in x]
+        info = (2).to_bytes(2, "big") + (100).to_bytes(2, "big") + bytes(6) + ((8000 << 44) | (7 << 36) | len(want)).to_bytes(8, "big") + bytes(16)
+        (s,) = flac.decode([b"fLaC" + b"\x80\x00\x00\x22" + info + b"".join(frames)])
+        assert s.samples.tolist() == want and s.block_ok.all() and s.md5_ok
+
+
+def test_flac_against_second_decoder(spark):
+    texts = [None, "", "x", "ß 東京 🙂" * 40, "a" * 1000, "".join(chr(33 + i * 7 % 90) for i in range(3000))]
+    for r in flac.read(flac.store(table(spark, texts))).collect():
+        x, frames = _plain(r["media"])
+        assert bytes(v + 128 for v in x) == r["pcm"] and [b["n_samples"] for b in r["blocks"]] == frames
+        flips = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r["feature"] == f"n={len(x)};sum={sum(x)};sq={sum(v * v for v in x)};flips={flips};peak={max(map(abs, x))}"
 
 
 def _bits(*fields):
@@ -293,8 +381,9 @@ def test_flac_columns(spark):
     blocks = flac.blocks(r.filter("doc_id = 5")).orderBy("sample_offset").collect()
     assert b"".join(b["pcm"] for b in blocks) == b"a" * 5000 + b" " * 184 and [b["sample_offset"] for b in blocks] == list(range(0, 5184, 192))
     assert flac.read(flac.store(docs.limit(0))).count() == 0
-    nulls = spark.createDataFrame([(1, None, 3)], "doc_id long, media binary, rate int")
-    assert flac.read(nulls).first()["pcm"] is None
+    nulls = spark.createDataFrame([(1, None, 3), (2, bytearray(b"RIFF"), 4)], "c1 long, MEDIA binary, Rate int")
+    none, junk = sorted(flac.read(nulls).collect(), key=lambda r: r["c1"])
+    assert none["pcm"] is None and none["valid"] is None and junk["pcm"] is None and junk["valid"] is False and junk["rate"] is None
 
 
 def test_flac_query(spark):
