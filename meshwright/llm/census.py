@@ -22,9 +22,10 @@ from .words import U64, bucket_of, pack_sorted, planes, unpack_sorted, unplanes
 CHUNKS, RANGES = 8, 4
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _key): the documents dealt into chunks; rows of equal id and text share one."""
-    keys = parts(small_batches(docs)) * CHUNKS
+def chunked(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """(doc_id, text, _key): the documents dealt into chunks, CHUNKS for each of ``size`` parts; rows of equal id and text share one."""
+    keys = (size or parts(docs)) * CHUNKS
+    docs = small_batches(docs)
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return chosen.withColumn("_key", F.pmod(F.xxhash64("doc_id", "text"), F.lit(keys)).cast("int")).repartition("_key")
 

@@ -13,9 +13,16 @@ How the corpus gets there, exactly and without any pair table of a whole group:
    index prefix of the rarest entries (twice the prefix-filter principle).
 3. Sets equal to one with a smaller id stand back; they rejoin at the end.
 4. Entries of at most GROUP sets give pairs, counted and kept if they share
-   enough entries. More frequent ones give a star around one member instead.
-5. Candidate components that come of it are joined with the trie, large ones
-   as pairs of blocks; each task emits only a spanning forest of true links.
+   enough entries. Sets with a more frequent one go through 1 and 2 again among
+   themselves, with their whole sets counted: what is frequent then, comes last
+   in its set, and only entries frequent in spite of that give a star around one
+   member instead of pairs. Texts that share a passage of less than about 3/4 of
+   their shingles aren't thrown together by it.
+5. Candidate components that come of it are joined with the trie; each task
+   emits only a spanning forest of true links. Large components are first held
+   against a few of their members (hubs), part by part; then only blocks of sets
+   that aren't in one class by now are joined, pair of blocks by pair of blocks.
+   A class of m near-copies so takes about m comparisons, not m * m.
 """
 
 from __future__ import annotations
@@ -32,15 +39,17 @@ from meshwright.plans.recovery import written
 
 from . import census
 from .sizing import parts
-from .words import U64, avalanche, planes, shingle_sets, slices, text_buffers, unplanes
+from .words import U64, avalanche, planes, ragged, shingle_sets, slices, text_buffers, unplanes
 
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Sets that share an index entry, up to which pairs are emitted.
 GROUP = 24
-#: Sets to a block of a large candidate component; rows to an index range before it is salted.
-BLOCK, HOT = 2048, 1 << 20
+#: Sets and shingles to a block of a large candidate component; members that all of it are held against first.
+BLOCK, BLOCK_SHINGLES, HUBS = 256, 1 << 18, 8
+#: Sets that hold an entry, from which on its range is salted.
+HOT = 1 << 20
 SLICE = 1 << 20
 #: Trie segments are no longer than this, so that a walk can leave a long one.
 SEGMENT = 64
@@ -69,6 +78,11 @@ def _index(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, _prefix(n) - _shared(_least(n)) + _seen(n), 0)
 
 
+def _whole_index(n: np.ndarray) -> np.ndarray:
+    """The same where whole sets are counted."""
+    return np.where(n > 0, n - _least(n) + _seen(n), 0)
+
+
 def _sets(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     raw, off = text_buffers(column)
     for i, j in slices(off, SLICE):
@@ -84,9 +98,9 @@ def _sampled(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[keep], row[keep]
 
 
-def _census_hashes(column) -> np.ndarray:
-    out = [_sampled(g, b)[0] for g, b in _sets(column)]
-    return np.concatenate(out) if out else np.zeros(0, U64)
+def _counted(grams: np.ndarray, bounds: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of each set that the corpus is searched for, and the set of each."""
+    return (grams, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))) if whole else _sampled(grams, bounds)
 
 
 def _trie(seqs: list[np.ndarray], sizes: np.ndarray) -> dict[str, np.ndarray]:
@@ -130,21 +144,18 @@ def _trie(seqs: list[np.ndarray], sizes: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenated ranges."""
-    total = int(lengths.sum())
-    return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-
+def trie_join(grams: np.ndarray, bounds: np.ndarray, probes: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets ``grams[bounds[i]:bounds[i + 1]]``: no link joins what is joined already.
 
-def trie_join(grams: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets ``grams[bounds[i]:bounds[i + 1]]``: no link joins what is joined already."""
+    With ``probes``, only links between one of the first so many sets and one of the others count.
+    """
     n = np.diff(bounds)
     m = len(n)
     row = np.repeat(np.arange(m), n)
     _, token, df = np.unique(grams, return_inverse=True, return_counts=True)
     rank = np.empty(len(df), np.int64)
     rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-    if not (df > 1).any():
+    if not (df > 1).any() or m == probes:
         return []
     keep = df[token] > 1  # an entry of one set counts in its size, but no overlap
     token, row = rank[token[keep]], row[keep]
@@ -152,9 +163,9 @@ def trie_join(grams: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
     token, row = token[order], row[order]
     cut = np.searchsorted(row, np.arange(m + 1))
     raw = [token[cut[i] : cut[i + 1]] for i in range(m)]
-    by = sorted(range(m), key=lambda i: raw[i].astype(">u4").tobytes())
-    seqs, sizes = [raw[i] for i in by], n[by]
-    flat = np.concatenate(seqs) if m else token
+    by = np.array(sorted(range(probes, m), key=lambda i: raw[i].astype(">u4").tobytes()))
+    seqs, sizes = [raw[i] for i in by.tolist()], n[by]
+    flat = np.concatenate(seqs)
     at = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
     t = _trie(seqs, sizes)
     label = np.arange(m)
@@ -162,28 +173,28 @@ def trie_join(grams: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
     links = []
     single = np.zeros(len(t["a"]), bool)
     stale = 0
-    for x in range(m):
-        if sizes[x] == 0:
+    for after, x in [(-1, i) for i in range(probes)] or enumerate(by.tolist()):  # sets of the trie beyond ``after``
+        if n[x] == 0:
             continue
         if stale >= 32:  # subtrees that are one class by now
-            low, high = (f.reduceat(np.append(label, 0), np.stack([t["a"], t["b"]], 1).ravel())[::2] for f in (np.minimum, np.maximum))
+            low, high = (f.reduceat(np.append(label[by], 0), np.stack([t["a"], t["b"]], 1).ravel())[::2] for f in (np.minimum, np.maximum))
             single, stale = low == high, 0
-        size, seq = sizes[x], seqs[x]
+        size, seq = n[x], raw[x]
         mark[seq] = 1
         front, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
         while len(front):
-            ok = (t["b"][front] > x + 1) & (t["high"][front] * 100 >= size * PERCENT) & (t["low"][front] * PERCENT <= size * 100)
-            ok &= ~(single[front] & (label[t["a"][front]] == label[x]))
+            ok = (t["b"][front] > after + 1) & (t["high"][front] * 100 >= size * PERCENT) & (t["low"][front] * PERCENT <= size * 100)
+            ok &= ~(single[front] & (label[by[t["a"][front]]] == label[x]))
             front, overlap = front[ok], overlap[ok]
             if not len(front):
                 break
             length = t["stop"][front] - t["start"][front]
-            own = mark[flat[_ragged(at[t["a"][front]] + t["start"][front], length)]]
+            own = mark[flat[ragged(at[t["a"][front]] + t["start"][front], length)]]
             sums = np.concatenate([[0], np.cumsum(own)])
             ends = np.cumsum(length)
             overlap = overlap + sums[ends] - sums[ends - length]
             # what the probe has left beyond the segment, in the global order
-            last = flat[np.maximum(at[t["a"][front]] + t["stop"][front] - 1, 0)]
+            last = flat[np.maximum(at[t["a"][front]] + t["stop"][front] - 1, 0)] if len(flat) else front
             left = np.where(t["stop"][front] > 0, len(seq) - np.searchsorted(seq, last, "right"), len(seq))
             best = overlap + np.minimum(left, t["rest"][front])
             ok = best * (100 + PERCENT) >= PERCENT * (size + np.maximum(t["low"][front], _least(size)))
@@ -192,24 +203,34 @@ def trie_join(grams: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
             done = t["rest"][front] >= 0
             for f, o in zip(front[done].tolist(), overlap[done].tolist()):
                 stop = t["stop"][f]
-                y = t["a"][f]
-                while y < t["b"][f] and len(seqs[y]) == stop:
-                    if y > x and label[y] != label[x] and o * (100 + PERCENT) >= PERCENT * (size + sizes[y]):
-                        links.append((by[x], by[y]))
+                k = t["a"][f]
+                while k < t["b"][f] and len(seqs[k]) == stop:
+                    y = int(by[k])
+                    if k > after and label[y] != label[x] and o * (100 + PERCENT) >= PERCENT * (size + n[y]):
+                        links.append((x, y))
                         label[label == label[y]] = label[x]
                         stale += 1
-                    y += 1
+                    k += 1
             kids = t["kid1"][front] - t["kid0"][front]
             overlap = np.repeat(overlap, kids)
-            front = t["kids"][_ragged(t["kid0"][front], kids)]
+            front = t["kids"][ragged(t["kid0"][front], kids)]
         mark[seq] = 0
     return links
 
 
-def _state(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, text, entries, df): per document its set's size and identity; text and index prefix only where a partner is possible."""
-    dealt = census.chunked(docs)
-    found = census.shared(dealt, _census_hashes, parts(docs) * census.RANGES)
+def _state(docs: DataFrame, size: int, whole: bool = False) -> DataFrame:
+    """(doc_id, n, sig_a, sig_b, text, entries, df): per document its set's size and identity; text and index prefix only where a partner is possible.
+
+    Sets are counted by their sample prefixes, or ``whole``. ``size`` is the number of parts that the input fills.
+    """
+    length = _whole_index if whole else _index
+
+    def hashes(column) -> np.ndarray:
+        out = [_counted(g, b, whole)[0] for g, b in _sets(column)]
+        return np.concatenate(out) if out else np.zeros(0, U64)
+
+    dealt = census.chunked(docs, size)
+    found = census.shared(dealt, hashes, size * census.RANGES)
 
     def index(table: pa.Table, told: pa.Table) -> pa.Table:
         known, total = census.gathered(told)
@@ -222,7 +243,7 @@ def _state(docs: DataFrame) -> DataFrame:
             np.cumsum(avalanche(grams ^ U64(0x5851F42D4C957F2D)), out=sums[0, 1:])
             np.cumsum(avalanche(grams ^ U64(0x14057B7EF767814F)), out=sums[1, 1:])
             sig.append((sums[:, bounds[1:]] - sums[:, bounds[:-1]]).view(np.int64))
-            h, row = _sampled(grams, bounds)
+            h, row = _counted(grams, bounds, whole)
             pos = np.searchsorted(known, h)
             pos[pos == len(known)] = 0
             hit = known[pos] == h if len(known) else np.zeros(len(h), bool)
@@ -232,7 +253,7 @@ def _state(docs: DataFrame) -> DataFrame:
             held = np.bincount(row, minlength=len(n))
             first = np.searchsorted(row, np.arange(len(n) + 1))
             place = np.arange(len(h)) - first[:-1][row] + (of - held)[row]  # entries found once come before all others
-            use = place < _index(n)[row]
+            use = place < length(n)[row]
             h, df, row = h[use], df[use], row[use]
             first = np.searchsorted(row, np.arange(len(n) + 1))
             enough = np.diff(first) >= _seen(_least(n))
@@ -277,8 +298,12 @@ def _postings(state: DataFrame, ranges: int) -> DataFrame:
     return state.select("doc_id", "n", "entries", "df").mapInArrow(send, "range int, h binary, doc binary, n binary")
 
 
-def _candidates(postings: DataFrame) -> DataFrame:
-    """(a, b, na, nb, shared, h): pairs of small groups with the entries they share here; stars of large ones have shared null and h, the entry."""
+def _candidates(postings: DataFrame, stars: bool) -> DataFrame:
+    """(a, b, least, shared, h): pairs of small groups with the entries they share here.
+
+    Members of larger groups come with shared 0: with ``stars``, each beside one of them (a), and that one once more with
+    h, the entry, else each beside itself.
+    """
 
     def pair(table: pa.Table) -> pa.Table:
         h = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("h").to_pylist()])
@@ -304,10 +329,10 @@ def _candidates(postings: DataFrame) -> DataFrame:
         new = np.flatnonzero(np.concatenate([[True], (doc[left][1:] != doc[left][:-1]) | (doc[right][1:] != doc[right][:-1])])) if len(left) else np.zeros(0, int)
         count = np.diff(np.append(new, len(left)))
         left, right = left[new], right[new]
-        members = _ragged(first[big], size[big])
+        members = ragged(first[big], size[big])
         hub = np.repeat(first[big], size[big])
-        star = np.unique(np.stack([doc[hub], doc[members]], 1), axis=0) if len(hub) else np.zeros((0, 2), np.int64)
-        ends = first[big]  # so that the parts of a salted entry find each other
+        star = np.unique(np.stack([doc[hub if stars else members], doc[members]], 1), axis=0) if len(hub) else np.zeros((0, 2), np.int64)
+        ends = first[big] if stars else first[:0]  # so that the parts of a salted entry find each other
         return pa.table(
             {
                 "a": pa.array(np.concatenate([doc[left], star[:, 0], doc[ends]]), pa.int64()),
@@ -321,50 +346,119 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return postings.groupBy("range").applyInArrow(pair, "a bigint, b bigint, least bigint, shared bigint, h bigint")
 
 
-def _edges(found: DataFrame) -> DataFrame:
+def _pairs(found: DataFrame) -> DataFrame:
+    """(a, b): pairs that share enough entries of small groups."""
     pairs = found.filter("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-    seen = F.greatest(F.lit(1), F.floor(F.col("least") * 6 / 100))
-    pairs = pairs.filter(F.col("shared") >= seen).select("a", "b")
+    return pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("least") * 6 / 100))).select("a", "b")
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    """(a, b): what joins the members of large groups."""
     stars = found.filter("shared = 0 and h is null").select("a", "b")
     hubs = found.filter("h is not null").groupBy("h").agg(F.min("a").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "hub")
     across = found.filter("h is not null").join(hubs, "h").select("a", F.col("hub").alias("b"))
-    return pairs.union(stars).union(across).filter("a <> b").distinct()
-
-
-def _verify(members: DataFrame, tasks: int) -> DataFrame:
-    """(a, b): links within candidate components, from rows (doc_id, component, text)."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    m = members.join(sizes, "component")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    m = m.withColumn("_blocks", blocks).withColumn("_mine", mine)
-    others = F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: j != F.col("_mine")))
-    m = m.withColumn("_other", F.explode(others))
-    m = m.withColumn("_i", F.least("_mine", "_other")).withColumn("_j", F.greatest("_mine", "_other"))
-    m = m.withColumn("_task", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "_i", "_j")))
-
-    def join(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        order = pa.compute.sort_indices(table, [("component", "ascending"), ("_i", "ascending"), ("_j", "ascending"), ("doc_id", "ascending")])
-        table = table.take(order)
-        ids = table.column("doc_id").to_numpy()
-        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("component", "_i", "_j")], 1)
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-        texts = table.column("text").combine_chunks()
-        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
+    return stars.union(across)
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    found = list(_sets(texts))
+    return np.concatenate([g for g, _ in found]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in found]))])
+
+
+def _verify(sets: DataFrame, near: DataFrame, tasks: int) -> DataFrame:
+    """(a, b): links within candidate components; ``sets`` has (doc_id, n, text), ``near`` (v, component)."""
+    # all that decides which task a set goes to is narrow; texts are joined to it once a step
+    member = sets.select("doc_id", "n").join(near, F.col("doc_id") == F.col("v")).groupBy("component", "doc_id").agg(F.max("n").alias("n"))
+    member = written(member, "members")
+    cut = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    size = member.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).filter("m > 1").select("component", "m", F.least(cut, F.col("m")).cast("int").alias("cut"))
+    sized = member.join(size, "component")
+    small = sized.filter("cut = 1").select("doc_id", "component", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"), F.lit(0).alias("part"), F.lit(0).alias("side"))
+    large = sized.filter("cut > 1")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int")
+    first = Window.partitionBy("component").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    hubs = large.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= HUBS).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    place = F.xxhash64("component", "part")
+    parted = [x.select("doc_id", "component", place.alias("task"), "part", F.lit(side).alias("side")) for side, x in ((1, hubs), (2, large.withColumn("part", part)))]
+    texts = sets.select("doc_id", "text")
+
+    def hold(table: pa.Table) -> pa.Table:
+        """Links of small components, and of a large one's members to its hubs, whose class becomes their label."""
+        kind, a, b, where = [], [], [], []
+        table = table.take(pa.compute.sort_indices(table, [(c, "ascending") for c in ("component", "part", "side", "doc_id")]))
+        ids, side, component = (table.column(c).to_numpy() for c in ("doc_id", "side", "component"))
+        key = np.stack([component, table.column("part").to_numpy().astype(np.int64)], 1)
+        bounds = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])).tolist()
+        column = table.column("text").combine_chunks()
+
+        def add(k: int, x, y, c) -> None:
+            kind.append(k)
+            a.append(x)
+            b.append(y)
+            where.append(c)
+
+        for i, j in zip(bounds, [*bounds[1:], len(ids)]):
             if j - i < 2:
                 continue
-            found = list(_sets(texts[i:j]))
-            grams = np.concatenate([g for g, _ in found])
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in found]))])
-            for x, y in trie_join(grams, bounds):
-                a.append(ids[i + x])
-                b.append(ids[i + y])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            own, c = ids[i:j].tolist(), int(component[i])
+            grams, cuts = _grams(column[i:j])
+            h = int((side[i:j] == 1).sum())
+            if not h:
+                for x, y in trie_join(grams, cuts):
+                    add(0, own[x], own[y], None)
+                continue
+            label = {x: {x} for x in own[:h]}
+            for x, y in trie_join(grams[: cuts[h]], cuts[: h + 1]):
+                add(0, own[x], own[y], None)
+                both = label[own[x]] | label[own[y]]
+                for z in both:
+                    label[z] = both
+            told: dict[int, int] = {}
+            for x, y in trie_join(grams, cuts, h):
+                add(0, own[x], own[y], None)
+                told[y] = min(label[own[x]])
+            for y in range(h, j - i):
+                add(1, own[y], told.get(y), c)
+        return pa.table([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(where, pa.int64())], ["kind", "a", "b", "component"])
 
     import pyarrow.compute  # noqa: F401
 
-    return m.select("component", "_i", "_j", "doc_id", "text", "_task").groupBy("_task").applyInArrow(join, "a bigint, b bigint")
+    dealt = texts.join(small.union(parted[0]).union(parted[1]), "doc_id")
+    held = written(dealt.groupBy("task").applyInArrow(hold, "kind int, a bigint, b bigint, component bigint"), "held-links")
+    links = held.filter("kind = 0").select("a", "b")
+
+    # what remains of large components: pairs of blocks but those of one class; sets without a class (free) also meet within their block
+    free = F.col("b").isNull()
+    label = held.filter("kind = 1").select("component", F.col("a").alias("doc_id"), free.alias("free"), F.coalesce("b", F.lit(0)).alias("label")).distinct()
+    per = size.select("component", (F.col("m") / F.col("cut")).alias("per"))
+    count = label.groupBy("component", "free", "label").agg(F.count(F.lit(1)).alias("k")).join(per, "component")
+    count = written(count.select("component", "free", "label", F.ceil(F.col("k") / F.col("per")).cast("int").alias("subs")), "blocks")
+    block = count.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("component", F.struct("free", "label", "sub").alias("x"))
+    meet = (F.col("x") < F.col("y")) & ~((F.col("x.label") == F.col("y.label")) & ~F.col("x.free") & ~F.col("y.free")) | (F.col("x") == F.col("y")) & F.col("x.free")
+    pair = block.join(block.withColumnRenamed("x", "y"), "component").filter(meet).select("component", "x", "y", F.xxhash64("component", "x", "y").alias("task"))
+    pair = written(pair, "block-pairs")
+    if not pair.limit(1).count():
+        return links
+    ends = pair.select("component", "x", "task", F.lit(0).alias("side")).union(pair.filter("x <> y").select("component", "y", "task", F.lit(1)))
+    own = label.join(count, ["component", "free", "label"])
+    own = own.select("component", "doc_id", F.struct("free", "label", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("subs")).cast("int").alias("sub")).alias("x"))
+    again = texts.join(own.join(ends, ["component", "x"]).select("doc_id", "task", "side"), "doc_id")
+
+    def meet_blocks(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        table = table.take(pa.compute.sort_indices(table, [(c, "ascending") for c in ("task", "side", "doc_id")]))
+        ids, side, task = (table.column(c).to_numpy() for c in ("doc_id", "side", "task"))
+        bounds = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist()
+        column = table.column("text").combine_chunks()
+        for i, j in zip(bounds, [*bounds[1:], len(ids)]):
+            if j - i > 1:
+                first = int((side[i:j] == 0).sum())
+                for x, y in trie_join(*_grams(column[i:j]), first if first < j - i else 0):
+                    a.append(ids[i + x])
+                    b.append(ids[i + y])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return links.union(again.groupBy("task").applyInArrow(meet_blocks, "a bigint, b bigint"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -375,17 +469,23 @@ def link(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id are one document with the links of all its texts; a null id takes no part and has a null
     component. An empty table gives no rows. Other columns are not used. Shingles are told apart by 64-bit hashes.
     """
-    state = _state(docs)
+    size = parts(docs)
+    ranges = size * census.RANGES
+    state = _state(docs, size)
     live = state.filter("entries is not null and doc_id is not null")
     reps = live.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep"))
     first = live.join(reps.select("sig_a", "sig_b", "n", F.col("rep").alias("doc_id")), ["sig_a", "sig_b", "n", "doc_id"], "left_semi")
     first = first.dropDuplicates(["doc_id", "sig_a", "sig_b"])
-    ranges = parts(docs) * census.RANGES
-    found = written(_candidates(_postings(first, ranges)), "candidates")
-    edges = written(_edges(found), "candidate-edges")
-    near = connected_components(edges, "a", "b")
-    members = first.select("doc_id", "text").join(near, first["doc_id"] == near["v"]).select("component", "doc_id", "text")
-    links = _verify(members, ranges)
+    found = written(_candidates(_postings(first, ranges), False), "candidates")
+    frequent = written(found.filter("shared = 0").select(F.col("a").alias("doc_id")).distinct(), "frequent")
+    edges = _pairs(found)
+    if frequent.limit(1).count():
+        again = _state(first.select("doc_id", "text").join(frequent, "doc_id", "left_semi"), size, True)
+        stars = written(_candidates(_postings(again.filter("entries is not null"), ranges), True), "candidates")
+        edges = edges.union(_pairs(stars)).union(_stars(stars))
+    edges = edges.filter("a <> b").distinct()
+    near = connected_components(written(edges, "candidate-edges"), "a", "b")
+    links = _verify(first.select("doc_id", "n", "text"), near, ranges)
     copies = live.join(reps, ["sig_a", "sig_b", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     classes = connected_components(written(links.union(copies), "links"), "a", "b")
     out = state.select("doc_id", F.col("n").alias("n_shingles")).join(classes, F.col("doc_id") == F.col("v"), "left")

@@ -69,6 +69,49 @@ def test_join_matches_brute_force(spark, monkeypatch, block, group, hot):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def morse(n, a, b):
+    out = [a, b]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return "".join(out[:n])
+
+
+def test_long_words_are_told_apart(spark):
+    """Thue-Morse words, whose polynomials modulo 2**64 are equal for every base."""
+    for n in (512, 2048, 65536):
+        pair = [morse(n, "a", "b"), morse(n, "b", "a")]
+        raw, off = words.text_buffers(pa.array(pair))
+        assert len(set(words.word_hashes(raw, off[:-1], off[1:]).tolist())) == 2
+    texts = [" ".join([f"{w}", *(f"v{i}" for i in range(34))]) for w in (morse(2048, "a", "b"), morse(2048, "b", "a"))]
+    texts += [f"{w} a b c" for w in (morse(4096, "x", "y"), morse(4096, "y", "x"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.link(docs).collect()) == list(enumerate(classes(texts)[0]))
+    assert [(r["n_words"], len(r["removed"])) for r in sorted(substring_dedup.dedup(docs).collect())] == [(35, 0), (35, 0), (4, 0), (4, 0)]
+
+
+def test_shared_passages_make_no_candidates(spark, monkeypatch):
+    """Documents that share half their text are not thrown together; large classes of near-copies are whole."""
+    seen = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda sets, near, tasks: seen.append(near) or verify(sets, near, tasks))
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(f"o{rng.integers(0, 10**9)}" for _ in range(24)) + " " + passage for _ in range(300)]
+    base = [f"b{i}" for i in range(120)]
+    for i in range(150):
+        t = list(base)
+        t[int(rng.integers(0, 120))] = f"x{i}"
+        texts.append(" ".join(t[: 120 - int(rng.integers(0, 4))]))
+    far = list(base)
+    far[40:58] = [f"f{i}" for i in range(18)]  # linked with few of the class only, if at all
+    texts.append(" ".join(far))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.link(docs).collect())
+    assert got == list(enumerate(classes(texts)[0]))
+    assert max((r["count"] for r in seen[0].groupBy("component").count().collect()), default=0) <= 151
+
+
 def test_one_row_of_each_class(spark):
     t = "a b c d e f g h i j"
     rows = [(3, t, 1), (3, t, 1), (3, t, 2), (3, None, 1), (3, "x y z", 1), (5, t, 1), (7, None, 1), (7, None, 1), (None, t, 1), (None, t, 2), (None, "other", 1), (None, None, 1), (None, None, 1)]
@@ -107,6 +150,16 @@ def test_trie_finds_the_classes(sets):
             n = len(set(sets[i]) & set(sets[j]))
             if n and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
                 want.append((i, j))
+    p = len(sets) // 3
+    across = ngram_join.trie_join(grams, bounds, p) if len(grams) else []
+    two = list(range(len(sets)))
+    for a, b in [x for x in want if p and (x[0] < p) != (x[1] < p)]:
+        two = [two[a] if c == two[b] else c for c in two]
+    one = list(range(len(sets)))
+    for a, b in across if p else []:
+        assert (max(a, b), min(a, b)) in set(want) and a < p <= b
+        one = [one[a] if c == one[b] else c for c in one]
+    assert len(set(one)) == len(set(two))
     for a, b in links:
         assert (max(a, b), min(a, b)) in set(want)  # only true links
         assert find(a) != find(b)  # a forest
@@ -129,8 +182,9 @@ def test_prefix_bounds(a, b, f, seed):
     px, py = set(x[: p[0]].tolist()), set(y[: p[1]].tolist())
     assert len(px & py) >= ngram_join._shared(np.array(least))
     order = rng.permutation(a + b)
-    ix, iy = (set(sorted(s, key=lambda v: order[v])[:k]) for s, k in zip((px, py), ngram_join._index(n).tolist()))
-    assert len(ix & iy) >= ngram_join._seen(np.array(least))
+    for sets, length in (((px, py), ngram_join._index), ((set(x.tolist()), set(y.tolist())), ngram_join._whole_index)):
+        ix, iy = (set(sorted(s, key=lambda v: order[v])[:k]) for s, k in zip(sets, length(n).tolist()))
+        assert len(ix & iy) >= ngram_join._seen(np.array(least))
 
 
 def repeated(texts, k):
