@@ -1,46 +1,61 @@
 """Main-text extraction by wrapper induction over pages of one host.
 
-Method: pages become DOM trees. Trees of same-host pages are aligned by simple
-tree matching (largest order-preserving match of children with equal labels,
-runs of equally labelled siblings taken as one repeated slot). Nodes whose
-aligned partners hold the same text are template; varying slots are content.
-The page's text is its content slot, a main element, an article or what holds
-all articles if there are any, else the body, without template and without
-parts whose tag, role or class says that they are menus, notices, adverts,
-forms or comments.
-
-Pages are dealt by host, the pages of a large one by hash into parts of HOST
-pages at most on average, so a host with a third of all pages is spread over
-many tasks. The pages of a part are aligned in runs of GROUP and more.
+Method: pages become DOM trees. A page is aligned with REFERENCES other pages of
+its host by simple tree matching (largest order-preserving match of children
+with equal labels, runs of equally labelled siblings taken as one repeated
+slot). Nodes whose aligned partners hold the same text are template; varying
+slots are content. The page's text is its content slot, a main element, an
+article or what holds all articles if there are any, else the body, without
+template and without parts whose tag, role or class says that they are menus,
+notices, adverts, forms or comments.
+
+A host's references are its distinct pages with the smallest hashes, so a page's
+text depends on its host's pages alone, never on partitions or batches. Pages
+are dealt by host, the pages of a large one by hash into parts of HOST pages on
+average, to each of which its references are sent along: a host with a third of
+all pages is spread over many tasks, each page of which is aligned REFERENCES
+times. Nothing is held but the references and the page in hand.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.plans.recovery import written
+
+from .columns import Columns
 from .sizing import PART_BYTES, parts, small_batches
 
-#: Pages aligned together at least, if there are so many, and partners that each page is compared with.
-GROUP, PARTNERS = 16, 3
-#: Pages of a host that are not cut into parts; hosts that are, at most (the largest ones); pages of a part in memory at once, up to twice as many.
-HOST, MOST_HOSTS, HELD = 256, 1 << 16, 512
+#: Pages of a host that each of its pages is aligned with.
+REFERENCES = 5
+#: Pages of a host that are not cut into parts; hosts that are, at most (the largest ones, so that their table can be broadcast).
+HOST, MOST_HOSTS = 256, 1 << 16
+#: A reference that leaves less than this share of a page's text varying is a near-copy of it, no witness of a template.
+VARYING = 0.1
+#: Up to so many pairs of differing sibling slots the largest match is found; beyond, the next equal label in order is taken.
+PAIRS = 1 << 12
 
 # Elements and names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROP = frozenset("head nav footer aside form button select textarea iframe object dialog menu canvas svg audio video noscript template title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+#: Words of a class or id that mark reader comments, and other parts beside the content.
+COMMENTS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "comment comments commentlist reply replies discussion disqus respond sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer share sharing social "
+    "sidebar widget widgets nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer share sharing social "
     "related recommended recommendations newsletter subscribe signup login search skip toolbar disclaimer copyright".split()
 )
+#: First words of a class that says whether a page has such a part, not that it is one.
+STATES = frozenset("has no not is with without hide show hidden after before".split())
 #: An open element that the start of one of these ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"thead", "tbody", "tr"}, "body": {"head"}}
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -53,37 +68,24 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
-
-
-class Node:
-    __slots__ = ("tag", "key", "kind", "children", "text", "constant")
-
-    def __init__(self, tag: str, key: str = "", kind: str = ""):
-        self.tag, self.key, self.kind = tag, key, kind
-        self.children: list = []
-        self.text: str | None = None
-        self.constant = 0
-
-    def read(self) -> str:
-        """The whole text, white space collapsed."""
-        if self.text is None:
-            out: list[str] = []
-            _gather(self, out, False)
-            self.text = " ".join("".join(out).split())
-        return self.text
+SPLIT = re.compile(r"[_\-]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _attributes(attrs: str) -> tuple[str, str]:
-    """The label's part of a tag, and "drop" if the element is never content."""
+    """The label's part of a tag, and its kind: "drop" if the element is never content, "comment" or "named" by its names."""
     key, kind = [], ""
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             if name == "class":
                 key.append(value)
-            if any(w.lower() in NAMES for w in SPLIT.split(value)):
-                kind = "drop"
+            for token in value.split():
+                words = [w.lower() for w in SPLIT.split(token) if w]
+                if words and words[0] not in STATES and kind != "drop":
+                    if any(w in COMMENTS for w in words):
+                        kind = "comment"
+                    elif any(w in NAMES for w in words):
+                        kind = kind or "named"
         elif name == "role":
             if value.lower() in ROLES:
                 kind = "drop"
@@ -92,305 +94,393 @@ def _attributes(attrs: str) -> tuple[str, str]:
     return " ".join(key), kind
 
 
-def parse(page: str) -> Node:
-    """The DOM tree of a page; unclosed and stray tags are put right as browsers do, in short."""
-    root = Node("#root")
-    stack = [root]
-    at = 0
+class Page:
+    """A DOM tree as lists over its elements in document order; element 0 is the root.
+
+    ``stop`` is the first element after a subtree, ``low`` and ``high`` bound its pieces of ``stream`` (text, with a space
+    at every block's edge), ``sig`` tells subtrees by their texts (0: none), ``weight`` and ``linked`` count their
+    characters, in all and in links, without dropped parts.
+    """
 
-    def put(text: str) -> None:
+    def __init__(self, html: str):
+        self.tag: list[str] = []
+        self.key: list[str] = []
+        self.kind: list[str] = []
+        self.parent: list[int] = []
+        self.stop: list[int] = []
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.sig: list[int] = []
+        self.weight: list[int] = []
+        self.linked: list[int] = []
+        self.children: list[list[int]] = []
+        self.stream: list[str] = []
+        self._parts: list[list] = []
+        self._stack: list[int] = []
+        self._open: Counter[str] = Counter()
+        self._start("#root", "", "")
+        self._parse(html)
+        self._close(0)
+        del self._parts, self._stack, self._open
+
+    def _start(self, tag: str, key: str, kind: str) -> None:
+        i = len(self.tag)
+        if tag not in INLINE:
+            self.stream.append(" ")
+        up = self._stack[-1] if self._stack else -1
+        if i:
+            self.children[up].append(i)
+        for column, value in ((self.tag, tag), (self.key, key), (self.kind, kind), (self.parent, up), (self.stop, i + 1), (self.low, len(self.stream)), (self.high, len(self.stream)), (self.sig, 0), (self.weight, 0), (self.linked, 0), (self.children, []), (self._parts, [])):
+            column.append(value)
+        self._stack.append(i)
+        self._open[tag] += 1
+
+    def _close(self, depth: int) -> None:
+        """Ends the open elements from ``depth`` on."""
+        while len(self._stack) > depth:
+            i = self._stack.pop()
+            tag, parts_ = self.tag[i], self._parts[i]
+            self._open[tag] -= 1
+            self.stop[i], self.high[i] = len(self.tag), len(self.stream)
+            if parts_:
+                self.sig[i] = hash(tuple(parts_)) or 1
+                self._parts[i] = []
+            if tag == "a":
+                self.linked[i] = self.weight[i]
+            up = self.parent[i]
+            if up >= 0 and self.kind[i] not in ("drop", "comment"):
+                self.weight[up] += self.weight[i]
+                self.linked[up] += self.linked[i]
+            if up >= 0 and self.kind[i] != "drop" and self.sig[i]:
+                self._parts[up].append(self.sig[i])
+            if tag not in INLINE:
+                self.stream.append(" ")
+
+    def _text(self, text: str) -> None:
         if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
-
-    def close(tags, scope=SCOPE) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["cdata"]:
-                put(m["cdata"])
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag in SCOPE:
-                    break
-            continue
-        if tag in ENDS_P:
-            close({"p"})
-        if tag in CLOSES:
-            close(CLOSES[tag], SCOPE - {"td", "th"} if tag == "tr" else frozenset({"ul", "ol", "table", "dl", "select"}))
-        attrs = m["attrs"]
-        key, kind = _attributes(attrs) if "=" in attrs or "hidden" in attrs else ("", "")
-        node = Node(tag, key, "drop" if tag in DROP else kind)
-        if tag in ("html", "body", "article", "main"):
-            node.kind = ""
-        stack[-1].children.append(node)
-        if tag not in VOID and not attrs.endswith("/"):
-            stack.append(node)
-    if at < len(page):
-        rest = page[at:]
-        put(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^<>]*\Z", rest) else rest)  # a tag that the page's end cuts off
-    return root
-
-
-def _level(node: Node) -> int:
-    """OUTSIDE of any slot; in a SLOT, around its articles; in an ARTICLE, or in a main without any."""
-    return ARTICLE if node.tag == "article" or node.tag == "main" and not _find(node, ONLY_ARTICLE) else SLOT if node.tag == "main" else OUTSIDE
-
-
-def _gather(node: Node, out: list[str], prune: bool, level: int = 0) -> None:
-    """Pieces of text with a space at every block's edge; with ``prune``, content only."""
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-            continue
-        if prune:
-            if c.kind == "drop" or c.constant and c.tag not in INLINE and not (level == ARTICLE and c.tag in PARAGRAPHS):
-                out.append(" ")
+            text = entities.unescape(text) if "&" in text else text
+            self.stream.append(text)
+            words = text.split()
+            if words:
+                i = self._stack[-1]
+                self._parts[i].append(" ".join(words))
+                self.weight[i] += sum(map(len, words))
+
+    def _end(self, tags, scope=SCOPE) -> None:
+        if any(self._open[t] for t in tags):
+            for d in range(len(self._stack) - 1, 0, -1):
+                tag = self.tag[self._stack[d]]
+                if tag in tags:
+                    return self._close(d)
+                if tag in scope:
+                    return
+
+    def _parse(self, page: str) -> None:
+        """Unclosed and stray tags are put right as browsers do, in short."""
+        at = 0
+        for m in TOKEN.finditer(page):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            tag = m["tag"]
+            if tag is None:
+                if m["cdata"]:
+                    self._text(m["cdata"])
                 continue
-            if c.tag == "header":
-                for h in _find(c, HEADINGS) if level else ():
-                    if level == ARTICLE or not (c.constant or h.constant):
-                        out += [" ", h.read(), " "]
+            tag = tag.lower()
+            if m["end"]:
+                if self._open[tag]:
+                    for d in range(len(self._stack) - 1, 0, -1):
+                        own = self.tag[self._stack[d]]
+                        if own == tag:
+                            self._close(d)
+                            break
+                        if tag in INLINE and own in SCOPE:
+                            break
                 continue
-        if c.tag in INLINE:
-            _gather(c, out, prune, level)
-        else:
-            out.append(" ")
-            _gather(c, out, prune, max(level, _level(c)) if prune else level)
-            out.append(" ")
+            if tag in ENDS_P:
+                self._end({"p"})
+            if tag in CLOSES:
+                self._end(CLOSES[tag], SCOPE - {"td", "th"} if tag == "tr" else frozenset({"ul", "ol", "table", "dl", "select"}))
+            attrs = m["attrs"]
+            key, kind = _attributes(attrs) if "=" in attrs or "hidden" in attrs else ("", "")
+            self._start(tag, key, "" if tag in ("html", "body", "article", "main") else "drop" if tag in DROP else kind)
+            if tag in VOID or attrs.endswith("/"):
+                self._close(len(self._stack) - 1)
+        if at < len(page):
+            rest = page[at:]
+            self._text(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^<>]*\Z", rest) else rest)  # a tag that the page's end cuts off
+
+    def slots(self, i: int) -> list[tuple[tuple[str, str], list[int]]]:
+        """Children by label, runs of equal labels as one slot."""
+        out: list = []
+        for c in self.children[i]:
+            if self.kind[c] != "drop":
+                label = (self.tag[c], self.key[c])
+                if out and out[-1][0] == label:
+                    out[-1][1].append(c)
+                else:
+                    out.append((label, [c]))
+        return out
+
+    def outermost(self, i: int, tags: frozenset[str]) -> list[int]:
+        """Elements below ``i`` with one of the tags, outside dropped parts and each other."""
+        out, j = [], i + 1
+        while j < self.stop[i]:
+            if self.kind[j] in ("drop", "comment"):
+                j = self.stop[j]
+            elif self.tag[j] in tags:
+                out.append(j)
+                j = self.stop[j]
+            else:
+                j += 1
+        return out
 
 
-#: The last is an article again, its template paragraphs left out.
-OUTSIDE, SLOT, ARTICLE, STRICT = 0, 1, 2, 3
-SLOTS, ONLY_ARTICLE = frozenset(("article", "main")), frozenset(("article",))
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SLOTS, ARTICLES, HEADINGS = frozenset(("article", "main")), frozenset(("article",)), frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = HEADINGS | frozenset("p blockquote pre li dt dd td th tr table ul ol dl figure figcaption br hr".split())
 
 
-def _find(node: Node, tags: frozenset[str]) -> list[Node]:
-    """Outermost elements with one of the tags, outside dropped parts."""
-    out = []
-    for c in node.children:
-        if not isinstance(c, str) and c.kind != "drop":
-            out += [c] if c.tag in tags else _find(c, tags)
-    return out
-
-
-def _slots(node: Node) -> list[tuple[tuple[str, str], list[Node]]]:
-    """Children by label, runs of equal labels as one slot."""
-    out: list = []
-    for c in node.children:
-        if isinstance(c, str) or c.kind == "drop":
-            continue
-        label = (c.tag, c.key)
-        if out and out[-1][0] == label:
-            out[-1][1].append(c)
-        else:
-            out.append((label, [c]))
-    return out
-
-
-def match(a: Node, b: Node) -> int:
-    """Simple tree matching: the size of the largest order-preserving match; marks nodes of ``a`` whose partner has the same text."""
-    x, y = _slots(a), _slots(b)
+def _matched(x: list, y: list) -> list[tuple[int, int]]:
+    """The largest order-preserving match of slots with equal labels, a slot counting as many nodes as both sides have."""
     n, m = len(x), len(y)
-    size = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            best = max(size[i][j + 1], size[i + 1][j])
-            if x[i][0] == y[j][0]:
-                best = max(best, size[i][j] + min(len(x[i][1]), len(y[j][1])))
-            size[i + 1][j + 1] = best
-    i, j = n, m
+    a = 0
+    while a < min(n, m) and x[a][0] == y[a][0]:
+        a += 1
+    z = 0
+    while z < min(n, m) - a and x[n - 1 - z][0] == y[m - 1 - z][0]:
+        z += 1
+    pairs = [(i, i) for i in range(a)] + [(n - z + i, m - z + i) for i in range(z)]
+    p, q = n - a - z, m - a - z
+    if not p or not q:
+        return pairs
+    if p * q > PAIRS:
+        places: dict = {}
+        for j in range(m - z - 1, a - 1, -1):
+            places.setdefault(y[j][0], []).append(j)
+        last = a - 1
+        for i in range(a, n - z):
+            left = places.get(x[i][0], [])
+            while left and left[-1] <= last:
+                left.pop()
+            if left:
+                last = left.pop()
+                pairs.append((i, last))
+        return pairs
+    size = [[0] * (q + 1) for _ in range(p + 1)]
+    both = lambda i, j: min(len(x[a + i][1]), len(y[a + j][1])) if x[a + i][0] == y[a + j][0] else 0
+    for i in range(p):
+        for j in range(q):
+            size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + both(i, j))
+    i, j = p, q
     while i and j:
-        if x[i - 1][0] == y[j - 1][0] and size[i][j] == size[i - 1][j - 1] + min(len(x[i - 1][1]), len(y[j - 1][1])):
+        if both(i - 1, j - 1) and size[i][j] == size[i - 1][j - 1] + both(i - 1, j - 1):
             i, j = i - 1, j - 1
-            mine, theirs = x[i][1], y[j][1]
-            if len(mine) == len(theirs) == 1:
-                own, other = mine[0], theirs[0]
-                if own.read() and own.read() == other.read():
-                    own.constant += 1
-                if own.tag not in PARAGRAPHS:
-                    size[n][m] += match(own, other)
-            else:
-                texts = {o.read() for o in theirs}
-                for own in mine:
-                    own.constant += own.read() in texts
+            pairs.append((a + i, a + j))
         elif size[i - 1][j] >= size[i][j - 1]:
             i -= 1
         else:
             j -= 1
-    return size[n][m] + 1
-
-
-def _clear(node: Node, most: int) -> None:
-    """Keeps the mark of nodes that were constant with every partner."""
-    for c in node.children:
-        if not isinstance(c, str):
-            c.constant = int(most > 0 and c.constant >= most)
-            _clear(c, most)
-
-
-def _kept(node: Node, level: int) -> str:
-    out: list[str] = []
-    _gather(node, out, True, level)
-    return " ".join("".join(out).split())
+    return pairs
+
+
+def match(a: Page, b: Page) -> list[int]:
+    """Simple tree matching from the roots on: the topmost elements of ``a`` whose partner in ``b`` has the same text."""
+    same = []
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        x, y = a.slots(i), b.slots(j)
+        for s, t in _matched(x, y):
+            mine, theirs = x[s][1], y[t][1]
+            texts, own = {b.sig[c] for c in theirs}, {a.sig[c] for c in mine}
+            same += [c for c in mine if a.sig[c] and a.sig[c] in texts]
+            left, right = [c for c in mine if a.sig[c] not in texts], [c for c in theirs if b.sig[c] not in own]
+            if len(left) == len(right):
+                todo += zip(left, right)
+    return same
+
+
+class Content:
+    """A page's text, given the elements that are template."""
+
+    def __init__(self, page: Page, seen: list[int] | None = None, partners: int = 0):
+        self.page, self.partners = page, partners
+        n = len(page.tag)
+        masks = seen or [0] * n
+        for i in range(1, n):
+            masks[i] |= masks[page.parent[i]]
+        # outside articles a template is what most partners have, in them what all of two or more have
+        self.usual = [2 * m.bit_count() >= partners > 0 for m in masks]
+        self.always = [m.bit_count() == partners > 1 for m in masks]
+
+    def _level(self, i: int) -> int:
+        """0 outside of any slot, 1 in a slot around its articles, 2 in an article, or in a main without any."""
+        tag = self.page.tag[i]
+        return 2 if tag == "article" or tag == "main" and not self.page.outermost(i, ARTICLES) else 1 if tag == "main" else 0
+
+    def kept(self, slot: int, level: int, strict: bool = False) -> str:
+        """The slot's text. Named parts go, but those that hold most of it; with ``strict``, paragraphs of articles that are template, too."""
+        page = self.page
+        stream, total = page.stream, page.weight[slot]
+        levels = {slot: level}
+        out: list[str] = []
+        at, i = page.low[slot], slot + 1
+        while i < page.stop[slot]:
+            tag, kind, up = page.tag[i], page.kind[i], levels[page.parent[i]]
+            levels[i] = own = max(up, self._level(i)) if tag in SLOTS else up
+            inner = own > up or tag in INLINE
+            template = self.always[i] and (strict or tag not in PARAGRAPHS) if up == 2 else self.usual[i]
+            gone = kind == "drop" or template and not inner
+            if kind in ("comment", "named") and not gone:
+                most = 2 * page.weight[i] > total and 2 * page.linked[i] < page.weight[i]
+                gone = not (most or page.outermost(i, SLOTS)) if kind == "named" else not page.outermost(i, SLOTS)
+            if not gone and tag != "header":
+                i += 1
+                continue
+            out += stream[at : page.low[i]]
+            if not gone and own:
+                for h in page.outermost(i, HEADINGS):
+                    if own == 2 or not (self.usual[i] or self.usual[h]):
+                        out += [" ", *stream[page.low[h] : page.high[h]], " "]
+            at, i = page.high[i], page.stop[i]
+        return " ".join("".join([*out, *stream[at : page.high[slot]]]).split())
+
+    def text(self) -> str:
+        """Of the content slot: the main or article element, of several the smallest element that holds them all; else the body."""
+        page = self.page
+        found = [i for i in page.outermost(0, SLOTS) if self.kept(i, 2)]
+        if not found:
+            body = page.outermost(0, frozenset(("body",)))
+            return self.kept(body[0] if body else 0, 0)
+        slot, level = found[0], self._level(found[0])
+        if len(found) > 1:
+            while not (slot < found[0] and page.stop[slot] > found[-1]):
+                slot = page.parent[slot]
+            level = 1
+        whole, varying = self.kept(slot, level), self.kept(slot, level, True)
+        # paragraphs shared with all partners are template, unless most of the text is: then the pages are near-copies
+        return varying if 2 * len(varying) > len(whole) else whole
 
 
-def _common(root: Node, n: int) -> Node:
-    """The smallest element that holds all ``n`` outermost slots with text."""
-    node = root
-    while True:
-        inner = [c for c in node.children if not isinstance(c, str) and c.kind != "drop"]
-        down = next((c for c in inner if sum(bool(_kept(f, ARTICLE)) for f in _find(c, SLOTS)) == n), None)
-        if down is None:
-            return node
-        node = down
+class Wrapper:
+    """A host's references, each with its text, and the extraction of its pages against them."""
 
+    def __init__(self):
+        self.references: list[tuple[str, Page, str]] = []
 
-def content(root: Node) -> str:
-    """Text of the content slot: the main or article element, of several the smallest element that holds them all; else the body."""
-    found = [f for f in _find(root, SLOTS) if _kept(f, ARTICLE)]
-    if found:
-        node, level = (found[0], _level(found[0])) if len(found) == 1 else (_common(root, len(found)), SLOT)
-        whole, varying = _kept(node, level), _kept(node, STRICT)
-        # paragraphs shared with every partner are template, unless most of the text is: then the pages are near-copies
-        return varying if 2 * len(varying) > len(whole) else whole
-    return _kept(next(iter(_find(root, frozenset(("body",)))), root), OUTSIDE)
+    def add(self, html: str) -> None:
+        if html and html not in (h for h, _, _ in self.references):
+            page = Page(html)
+            self.references.append((html, page, Content(page).text()))
 
+    def extract(self, html: str | None) -> str:
+        if not html:
+            return ""
+        page = Page(html)
+        plain = Content(page).text()
+        seen, partners = [0] * len(page.tag), 0
+        total = max(1, page.weight[0])
+        for other, tree, text in self.references:
+            if other == html or text == plain:
+                continue
+            same = match(page, tree)
+            if sum(page.weight[i] for i in same if page.kind[i] not in ("drop", "comment")) > (1 - VARYING) * total:
+                continue
+            for i in same:
+                seen[i] |= 1 << partners
+            partners += 1
+        return Content(page, seen, partners).text() if partners else plain
 
-def _clean(tree: Node, others: list[Node]) -> str:
-    """The page's text without what it shares with all of two partners or more."""
-    for o in others:
-        match(tree, o)
-    _clear(tree, len(others) if len(others) > 1 else 0)
-    return content(tree)
 
+def extract_group(pages: list[str], host: bool = True) -> list[str]:
+    """Texts of pages of one host, the first REFERENCES different ones being its references; ``host`` False takes them as unrelated."""
+    wrapper = Wrapper()
+    for p in dict.fromkeys(pages) if host else ():
+        if p and len(wrapper.references) < REFERENCES:
+            wrapper.add(p)
+    return [wrapper.extract(p) for p in pages]
 
-def extract_group(pages: list[str], host: bool = True, group: int = GROUP) -> list[str]:
-    """Texts of pages of one host; ``host`` False takes them as unrelated.
 
-    Pages are aligned in runs of ``group`` to twice as many less one. Partners have other texts than the page and, where
-    there are enough, than each other; those that a run lacks come from the others. Copies show no template.
-    """
-    n = len(pages)
-    plain: list[str | None] = [None] * n
-    texts = [""] * n
-    samples: dict[str, int] = {}  # a few texts of the whole group, and a page of each
-    short = []
-    runs = max(1, n // group)
-    for r in range(runs):
-        at = range(r * n // runs, (r + 1) * n // runs)
-        trees = {i: parse(pages[i]) for i in at if pages[i]}
-        for i, t in trees.items():
-            plain[i] = texts[i] = content(t)
-            if len(samples) <= PARTNERS:
-                samples.setdefault(texts[i], i)
-        for i, t in trees.items() if host else ():
-            ring = [j for j in (*range(i + 1, at.stop), *range(at.start, i)) if j in trees and plain[j] != plain[i]]
-            first = dict((plain[j], j) for j in reversed(ring))  # the nearest page of each other text
-            near = sorted(first.values(), key=ring.index)[:PARTNERS]
-            if len(near) < PARTNERS and runs > 1:
-                short.append((i, near))
-            else:
-                near += [j for j in ring if j not in near][: PARTNERS - len(near)]
-                texts[i] = _clean(t, [trees[j] for j in near])
-    known: dict[tuple, str] = {}
-    refs: dict[int, Node] = {}
-    for i, near in short:
-        have = {plain[i], *(plain[j] for j in near)}
-        near = [*near, *(j for t, j in samples.items() if t not in have)][:PARTNERS]
-        if len(near) < 2:  # one other text in all: its copies, as far as there are any
-            near += [j for j in range(n) if pages[j] and plain[j] != plain[i] and j not in near][: PARTNERS - len(near)]
-        key = (pages[i], *near)
-        if key not in known:
-            for j in near:
-                if j not in refs:
-                    refs[j] = parse(pages[j])
-            known[key] = _clean(parse(pages[i]), [refs[j] for j in near])
-        texts[i] = known[key]
-    return texts
-
-
-def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
+def extract(pages: DataFrame, host: int = HOST) -> DataFrame:
     """All columns of ``pages`` but html, plus text (never null).
 
-    A null or empty page gives an empty text. Pages whose url has no host are taken one by one. Rows repeat as they come
-    (copies are never each other's template). Columns named text are replaced; an empty table gives no rows.
-
-    A page's partners are drawn from its host's pages, or from a part of HOST / 2 to HOST of them by hash, whatever the
-    partitions and batches of the table. A copy gets no template only where its part has no two pages with other texts.
+    A null or empty page gives an empty text. Pages whose url has no host are taken one by one, and so is a host's only
+    page. A host with two pages of different text has a template: what both share. Copies and near-copies (see VARYING)
+    are never each other's template. Rows repeat as they come, equal pages of a host have equal texts; columns named
+    text are replaced, all others stay, whatever their names; an empty table gives no rows. Pages of any length, depth
+    and breadth are walked without recursion, in time that grows with their elements.
     """
-    kept = [c for c in pages.columns if c not in ("html", "text")]
-    host = F.lower(F.regexp_extract(F.coalesce(pages["url"].cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    chosen = small_batches(pages).select(*[pages[f"`{c}`"] for c in kept], pages["html"].cast("string").alias("_html"), host.alias("_host"), F.xxhash64(pages["page_id"], pages["url"], pages["html"]).alias("_at"))
-    large = pages.select(host.alias("_host")).groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") > HOST)
-    large = large.orderBy(F.desc("_pages"), "_host").limit(MOST_HOSTS)
-    cuts = F.ceil(F.coalesce("_pages", F.lit(1)) / HOST)
-    # the upper bits, as the lower ones order the pages of a part
-    chosen = chosen.join(F.broadcast(large), "_host", "left").withColumn("_part", F.pmod(F.shiftright("_at", 20), cuts))
-    chosen = chosen.select(*[F.col(f"`{c}`") for c in kept], "_html", "_host", "_part", "_at")
-    dealt = chosen.repartition(parts(pages, per=PART_BYTES // 4), "_host", "_part").sortWithinPartitions("_host", "_part", "_at", "_html")
-    at_html, at_host, at_part = len(kept), len(kept) + 1, len(kept) + 2
+    given = Columns(pages, ("html", "text"))
+    url = F.coalesce(given["url"].cast("string"), F.lit(""))
+    name = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host")
+    size = parts(pages, per=PART_BYTES // 4)
+    page = small_batches(given.rows).select(*given.kept(), given["html"].cast("string").alias("html"), name, F.shiftright(F.xxhash64(given["page_id"], given["url"], given["html"]), 20).alias("spread"))
+    page = page.withColumn("h", F.xxhash64("html"))
+    # distinct pages, by their hashes; of the large hosts (so many at most that their tables can be broadcast) the references
+    distinct = written(page.groupBy("host", "h").agg(F.count(F.lit(1)).alias("k")), "page-hashes")
+    large = distinct.filter("host <> ''").groupBy("host").agg(F.sum("k").alias("k")).filter(F.col("k") > host).orderBy(F.desc("k"), "host").limit(MOST_HOSTS)
+    large = written(large.select("host", F.ceil(F.col("k") / host).cast("int").alias("cut")), "large-hosts")
+    top = Window.partitionBy("host").orderBy("h")
+    some = distinct.join(F.broadcast(large), "host").filter(~F.col("h").isin(F.xxhash64(F.lit("")), F.xxhash64(F.lit(None).cast("string"))))
+    some = some.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= REFERENCES).select("host", "h", "cut")
+    texts = page.filter("html <> ''").select("host", "h", "html").join(F.broadcast(written(some, "references")), ["host", "h"])
+    texts = texts.groupBy("host", "h", "cut").agg(F.min("html").alias("html"))
+    own = page.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.col("spread"), F.coalesce("cut", F.lit(1))).cast("int"))
+    kept = [f"c{i}" for i in given.own]
+    sent = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    sent = sent.select(*[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in kept], "html", "host", "part", "h", F.lit(0).alias("own"))
+    rows = own.select(*kept, "html", "host", "part", "h", F.lit(1).alias("own")).union(sent)
+    dealt = rows.repartition(size, "host", "part").sortWithinPartitions("host", "part", "own", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the part in hand, carried over batches
-        done: list[pa.RecordBatch] = []
-        own = None
-
-        def take(most: int) -> None:
-            rows, left = [], most
-            while held and left:
-                b = held.pop(0)
-                if b.num_rows > left:
-                    held.insert(0, b.slice(left))
-                    b = b.slice(0, left)
-                rows.append(b)
-                left -= b.num_rows
-            texts = extract_group([x for b in rows for x in b.column(at_html).to_pylist()], bool(own[0]), group)
-            i = 0
-            for b in rows:
-                done.append(pa.RecordBatch.from_arrays([*b.columns[:at_html], pa.array(texts[i : i + b.num_rows], pa.string())], [*kept, "text"]))
-                i += b.num_rows
+        key, wrapper, sent_along = None, Wrapper(), False
+        waiting: list[tuple[pa.RecordBatch, int, str | None]] = []  # rows read before their host's references were
+        done: list[tuple[pa.RecordBatch, int, str]] = []
+        last: tuple[str | None, str] = (None, "")
+
+        def text(html: str | None) -> str:
+            nonlocal last
+            if html != last[0]:
+                last = (html, wrapper.extract(html))
+            return last[1] if html else ""
+
+        def settle() -> None:
+            nonlocal last
+            last = (None, "")
+            done.extend((b, i, text(html)) for b, i, html in waiting)
+            waiting.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
-            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-            done.clear()
-
-        for batch in batches:
-            keys = list(zip(batch.column(at_host).to_pylist(), batch.column(at_part).to_pylist()))
             i = 0
-            while i < len(keys):
-                j = i + 1
-                while j < len(keys) and keys[j] == keys[i]:
+            while i < len(done):
+                j = i
+                while j < len(done) and done[j][0] is done[i][0]:
                     j += 1
-                if keys[i] != own:
-                    if held:
-                        take(HELD * 2)
-                    own = keys[i]
-                held.append(batch.slice(i, j - i))
-                while sum(b.num_rows for b in held) >= HELD * 2:
-                    take(HELD)
+                batch = done[i][0].take(pa.array([r for _, r, _ in done[i:j]], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([t for _, _, t in done[i:j]], pa.string())], [*kept, "text"])
                 i = j
-            if done:
-                yield from out()
-        if held:
-            take(HELD * 2)
+            done.clear()
+
+        for batch in batches:
+            columns = [batch.column(len(kept) + k).to_pylist() for k in (0, 1, 2, 4)]
+            for i, (html, name, part, mine) in enumerate(zip(*columns)):
+                if (name, part) != key:
+                    settle()
+                    key, wrapper, sent_along, last = (name, part), Wrapper(), False, (None, "")
+                if not mine:
+                    wrapper.add(html)
+                    sent_along = True
+                elif not name or sent_along or len(wrapper.references) == REFERENCES:
+                    if waiting:
+                        settle()
+                    done.append((batch, i, text(html)))
+                else:
+                    wrapper.add(html)
+                    waiting.append((batch, i, html))
             yield from out()
+        settle()
+        yield from out()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:at_html]) + ", text string"
-    return dealt.mapInArrow(run, schema)
+    schema = ", ".join([f"{c} {own.schema[c].dataType.simpleString()}" for c in kept] + ["text string"])
+    return given.named(dealt.mapInArrow(run, schema), "text")

@@ -23,17 +23,25 @@ from pyspark.sql import functions as F
 
 from meshwright.plans.recovery import written
 
+from .columns import Columns
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
+NEW = ("size", "source_size", "target", "copies")
 #: The order key has 60 bits; its top bits number the hash range, 4096 to a source.
 KEY_BITS, RANGE_BITS = 60, 12
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
+def name_of(doc_id: Column, text: Column) -> Column:
+    """A document's name: its id, or without one the MD5 of its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def order_key(name: Column, seed: int) -> Column:
     """Pseudo-random but reproducible place of a document, the same in any engine with MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    text = F.concat(F.lit(f"{seed}:"), name)
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -62,14 +70,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
     Size is the number of words; a null text has 0. A source's sum of size * copies differs from its target by half a
     document at most. A null source is a source of its own, ranked last. Rows with equal doc_id and size get the same
-    copies (ties are taken together), null ids count as one id. An empty table gives no rows. If ``docs`` has columns
-    by the four new names, they are replaced.
+    copies (ties are taken together); rows without an id go by their texts. Whole texts are counted. An empty table
+    gives no rows. If ``docs`` has columns by the four new names, they are replaced; all others stay, whatever their
+    names.
     """
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    name = F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("n"))
-    wide = docs.select(*[docs[c] for c in keep], name.alias("_s"), order_key(docs["doc_id"], seed).alias("_key"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("_id"))
-    narrow = wide.select("_s", "_key", "_id", size.alias("_size"))
+    given = Columns(docs, NEW)
+    source, text = given["source"].cast("string"), given["text"].cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    name = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+    own = name_of(given["doc_id"], text)
+    wide = given.rows.select(*given.kept(), name.alias("_s"), order_key(own, seed).alias("_key"), own.alias("_id"), size.alias("size"))
+    narrow = wide.select("_s", "_key", "_id", F.col("size").alias("_size"))
     shift = KEY_BITS - RANGE_BITS
     ranges = narrow.groupBy("_s", F.shiftright("_key", shift).alias("_range")).agg(F.sum("_size").alias("_sum"))
     sources = ranges.groupBy("_s").agg(F.sum("_sum").alias("source_size"))
@@ -90,14 +101,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     last = inside.groupBy("_s").agg(F.max(place).alias("_last"))
     start = F.struct(F.shiftleft("_range", shift).alias("_key"), F.lit("").alias("_id"), F.lit(-1).cast("long").alias("_size"))
     t = written(t.join(last, "_s", "left").select("_s", "source_size", "target", "_whole", F.coalesce("_last", start).alias("_last")), "source-ends")
-    out = wide.withColumn("size", size).join(t, "_s", "left")
+    out = wide.join(t, "_s", "left")
     once_more = F.struct("_key", "_id", F.col("size").alias("_size")) <= F.col("_last")
     copies = (F.col("_whole") + once_more.cast("long")).alias("copies")
-    return out.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", copies)
+    return given.named(out.withColumn("copies", copies), *NEW)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    counted = mix(docs, **how)
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns, whatever their names.
+
+    Null texts, null sources, repeated rows and empty tables are as in ``mix``; rows of no words are taken as often as
+    the others of their source.
+    """
+    given = Columns(docs)
+    # mix sees the columns under their positions but for the three it needs, so that nothing is replaced
+    used = {given.at(c): c for c in ("doc_id", "text", "source")}
+    counted = mix(given.rows.withColumnsRenamed(used), **how)
+    again = counted.withColumnsRenamed({c: at for at, c in used.items()})
     times = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
-    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias("_copy")).drop("_copy")
+    return given.named(again.select(*given.kept(), F.explode(times).alias("time")))

@@ -38,6 +38,7 @@ from meshwright.operators.components import connected_components
 from meshwright.plans.recovery import written
 
 from . import census
+from .columns import Columns
 from .sizing import parts
 from .words import U64, avalanche, planes, ragged, shingle_sets, slices, text_buffers, unplanes
 
@@ -473,7 +474,8 @@ def link(docs: DataFrame) -> DataFrame:
     ranges = size * census.RANGES
     state = _state(docs, size)
     live = state.filter("entries is not null and doc_id is not null")
-    reps = live.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep"))
+    # written, so that the joins with it are plain ones, which are split where one set has very many copies
+    reps = written(live.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")), "first-copies")
     first = live.join(reps.select("sig_a", "sig_b", "n", F.col("rep").alias("doc_id")), ["sig_a", "sig_b", "n", "doc_id"], "left_semi")
     first = first.dropDuplicates(["doc_id", "sig_a", "sig_b"])
     found = written(_candidates(_postings(first, ranges), False), "candidates")
@@ -498,16 +500,17 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     A null text comes last. Null ids take no part in the join and have no class: their rows stay, but of those with
     equal texts (of a word at least) one.
     """
-    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    order = [F.col("text").isNull(), F.xxhash64("text"), F.col("text"), F.xxhash64(*plain)]
+    given = Columns(docs)
+    rows, key, text = given.rows, given.at("doc_id"), given.at("text")
+    plain = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    order = [F.col(text).isNull(), F.xxhash64(text), F.col(text), F.xxhash64(*plain)]
     # ranked before the join, so that repeats go before the exchange; the join is by the same key
 
     def one(rows: DataFrame, key: str) -> DataFrame:
-        ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-        return ranked.filter("_row = 1").drop("_row")
-
-    firsts = link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = one(docs.filter("doc_id is not null"), "doc_id").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi")
-    nameless = docs.filter("doc_id is null")
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return kept.unionByName(one(nameless.filter(words), "text")).unionByName(nameless.filter(~words))
+        return rows.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("at = 1").drop("at")
+
+    firsts = link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    kept = one(rows.filter(F.col(key).isNotNull()), key).join(firsts, F.col(key).cast("long") == F.col("first"), "left_semi")
+    nameless = rows.filter(F.col(key).isNull())
+    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return given.named(kept.unionByName(one(nameless.filter(words), text)).unionByName(nameless.filter(~words)))

@@ -125,7 +125,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """All columns of ``docs`` plus held_out, score and predicted.
 
     Null and empty texts have no neighbours and score the sample's mean label. Labels that are null, neither 0 nor 1, or
-    without a document, are not used; repeated ids count once. Rows of ``docs`` repeat as they come; columns by the new
-    names are replaced; empty tables give no rows. lang, source and ids never enter a score.
+    without a document, are not used; repeated ids count once, with the text of the smallest hash. Whole texts are scored, a
+    slice of rows at a time. Rows of ``docs`` repeat as they come; columns by the new names are replaced, all others
+    stay, whatever their names; empty tables give no rows. lang, source and ids never enter a score.
     """
     return labelled.scored(docs, fit(docs, labels, sample_rows).score, MODULUS, REST, threshold)

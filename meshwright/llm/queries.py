@@ -79,27 +79,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_best_fit_packing, op4_secret_scan, op5_toxicity, op6_quality, op7_nearest_neighbours, op8_html_extraction, op9_mixing, op10_flac)
 }
 
-_ASSIGN = secret_scan.BASE_RULES[0].regex.replace("'", "''")
+
+
+def _matches(order: int, r: secret_scan.Rule) -> str:
+    regex = r.regex.replace("'", "''")
+    return f"SELECT doc_id, '{r.kind}' kind, {order} ord, {r.least} least, string_split_regex(t, '{regex}') p, regexp_extract_all(t, '{regex}', 0) h, regexp_extract_all(t, '{regex}', {r.group}) v FROM d"
+
 
 SQL: dict[str, str] = {
     "op4_secret_scan": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
-m AS (
-  SELECT doc_id, 'assign' kind, 0 ord, 12 least, string_split_regex(t, '{_ASSIGN}') p, regexp_extract_all(t, '{_ASSIGN}', 0) h, regexp_extract_all(t, '{_ASSIGN}', 2) v FROM d
-  UNION ALL SELECT doc_id, 'access', 1, 18, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) FROM d
-  UNION ALL SELECT doc_id, 'hex', 2, 16, string_split_regex(t, '[0-9a-f]{{16,}}'), regexp_extract_all(t, '[0-9a-f]{{16,}}', 0), regexp_extract_all(t, '[0-9a-f]{{16,}}', 0) FROM d),
+m AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(secret_scan.RULES))}),
 s AS (
   SELECT doc_id, kind, ord, least, v[i] val,
     list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) st, length(h[i]) len
   FROM (SELECT *, unnest(range(1, len(h) + 1)) i FROM m)),
 g AS (SELECT * FROM s WHERE length(val) >= least),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') na, count(*) FILTER (kind = 'access') nc, count(*) FILTER (kind = 'hex') nh,
+    string_agg(kind || ':' || st::BIGINT || ':' || (st + len)::BIGINT, ',' ORDER BY st, ord) FILTER (ord < 3) b,
     string_agg(kind || ':' || st::BIGINT || ':' || (st + len)::BIGINT, ',' ORDER BY st, ord) j FROM g GROUP BY doc_id)
-SELECT doc_id, coalesce(na, 0)::BIGINT n_assign, coalesce(nc, 0)::BIGINT n_access, coalesce(nh, 0)::BIGINT n_hex, sha256(coalesce(j, '')) base_sha256, coalesce(j, '') spans
+SELECT doc_id, coalesce(na, 0)::BIGINT n_assign, coalesce(nc, 0)::BIGINT n_access, coalesce(nh, 0)::BIGINT n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(j, '') spans
 FROM d LEFT JOIN a USING (doc_id)""",
     "op9_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size,
-    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT k FROM documents),
+    coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) nm, ('0x' || substr(md5('{mixing.SEED}:' || nm), 1, 15))::BIGINT k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT ss FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] w, row_number() OVER (ORDER BY source NULLS LAST) r, 3 * ss cap, sum(ss) OVER () total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -107,7 +110,7 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEE
 t AS (SELECT source, ss, least(cap::DOUBLE, (SELECT min_by(lev, pl) FROM l WHERE lev * w <= cap) * w) target FROM l),
 u AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss)::BIGINT ELSE 0 END whole FROM t),
 c AS (SELECT d.*, u.ss, u.target, u.whole, u.target - u.whole * u.ss rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY d.k, coalesce(d.doc_id::VARCHAR, ''), d.size) upto
+    sum(size) OVER (PARTITION BY d.source ORDER BY d.k, d.nm, d.size) upto
     FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, ss source_size, target, size * (whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END)::BIGINT taken FROM c""",
 }

@@ -8,17 +8,25 @@ trigrams is verified on every document.
 
 Postings are (trigram, document key) rows over the trigrams that the rules
 need. They are intersected by document key, so a trigram that a third of all
-documents hold is spread like any other.
+documents hold is spread like any other. The candidates that come of it are
+written as a table of keys and rule numbers: where it is small enough for the
+session's own bound the planner broadcasts it and texts stay where they are, else
+both sides are dealt by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _parser as parser  # the standard library's own parser of expressions
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.plans.recovery import written
+
+from .columns import Columns
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -38,6 +46,28 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 
+# Key formats that vendors publish, and two common carriers of secrets. Each holds a mandatory trigram.
+MORE_RULES = (
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_password", r"(postgresql|postgres|mysql|mongodb|redis|amqps?|https?|ftp)://[A-Za-z0-9._%+-]{1,64}:[^\x00-\x20:@/\x22'<>]{3,128}@[A-Za-z0-9.-]+"),
+    Rule("aws_session", r"ASIA[A-Z0-9]{16}"),
+    Rule("azure_key", r"AccountKey=[A-Za-z0-9+/]{40,}={0,2}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("google_api", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]{16,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[a-fA-F0-9]{32}"),
+    Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,}"),
+    Rule("stripe", r"[sr]k_(live|test)_[A-Za-z0-9]{16,}"),
+)
+RULES = BASE_RULES + MORE_RULES
+
 #: A query: None (any document), a trigram, or ("and" | "or", queries).
 Query = None | str | tuple
 _MOST = 64  # literal alternatives carried along before they are turned into trigrams
@@ -57,7 +87,8 @@ def _any(queries: list[Query]) -> Query:
 
 
 def _grams(strings: set[str]) -> Query:
-    return _any([_all([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """Trigrams that cover each string, end to end; those between them would add little."""
+    return _any([_all([s[i : i + 3] for i in (*range(0, len(s) - 3, 3), len(s) - 3)] if len(s) > 2 else []) for s in sorted(strings)])
 
 
 def _literals(op, arg) -> set[str] | None:
@@ -134,65 +165,87 @@ def _meets(query: Query, grams: Column) -> Column:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows of equal id and text share a key, and so their candidates."""
-    return docs.withColumn("_text", F.coalesce(docs["text"].cast("string"), F.lit(""))).withColumn("_key", F.xxhash64(docs["doc_id"], "_text"))
-
-
 def postings(keyed: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index: (gram, _key) for each of ``grams`` that a text holds, letters folded."""
-    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in grams]))
+    """The inverted index: (gram, key) for each of ``grams`` that a text holds, letters folded, from rows (key, text)."""
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
     # an outer explode: an inner one infers a filter on the array, which is then computed once more for it
-    found = keyed.select("_key", F.lower("_text").alias("_low")).select("_key", F.explode_outer(held).alias("gram"))
+    found = keyed.select("key", F.lower("text").alias("low")).select("key", F.explode_outer(held).alias("gram"))
     return found.filter("gram is not null")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(_key, _rules): for each document, the rules whose trigram query its postings meet."""
-    queries = {r.kind: trigram_query(r.regex) for r in rules}
-    held = index.groupBy("_key").agg(F.collect_set("gram").alias("_grams"))
-    kinds = F.array_compact(F.array(*[F.when(_meets(q, F.col("_grams")), F.lit(k)) for k, q in queries.items() if q is not None]))
-    return held.select("_key", kinds.alias("_rules")).filter(F.size("_rules") > 0)
+    """(key, mask): for each document that meets any rule's trigram query, bit i for rule i."""
+    held = index.groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    mask = F.lit(0).cast("long")
+    for i, r in enumerate(rules):
+        query = trigram_query(r.regex)
+        if query is not None:
+            mask = mask.bitwiseOR(F.when(_meets(query, F.col("grams")), F.lit(1 << i)).otherwise(0).cast("long"))
+    return held.select("key", mask.alias("mask")).filter("mask <> 0")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _chunked(items: Column, begin: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """Folds an array chunk by chunk, each as long as there are chunks: what a step appends is then copied about sqrt(n) times, not n."""
+    size = lambda z: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(z)))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), size(items)), lambda k: F.slice(items, k * size(items) + 1, size(items)))
+    return F.aggregate(F.filter(cut, lambda c: F.size(c) > 0), begin, step, finish)
+
+
+SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Verified spans of one rule in code points; a match's start is the length of all that was split off before it."""
     regex = F.lit(rule.regex)
     whole, value = F.regexp_extract_all(text, regex, F.lit(0)), F.regexp_extract_all(text, regex, F.lit(rule.group))
-    made = F.struct(F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("hit"), value.alias("value")).alias("z"))
-    kind = "array<struct<start:int,order:int,end:int,kind:string>>"
+    pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("hit"), value.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         good = x["hit"].isNotNull() & (F.length(x["value"]) >= rule.least)
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    return F.aggregate(made["z"], begin, step, lambda acc: acc["spans"])
+    def chunk(acc: Column, c: Column) -> Column:
+        inner = F.aggregate(c, F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("spans")), one)
+        return _once(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["spans"])).alias("out")))
 
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    return _once(pieces, lambda z: _chunked(z, begin, chunk, lambda acc: F.flatten(acc["out"])))
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of ``docs`` plus spans: array of (start, order, end, kind), sorted by start, then the order of rules.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows repeat as they come; null ids are
-    allowed. An empty table gives no rows. A column named spans is replaced.
+    Offsets are code points, ends exclusive. Null and empty texts have no spans; whole texts are scanned, in time that
+    grows with their length and about the 3/2th power of their matches. Rows repeat as they come, with equal spans for
+    equal texts; null ids are allowed. An empty table gives no rows. A column named spans is replaced, all others stay,
+    whatever their names. Up to 62 rules.
     """
-    queries = {r.kind: trigram_query(r.regex) for r in rules}
-    grams = sorted({g for q in queries.values() for g in _needed(q)})
-    keyed = _keyed(docs.drop("spans"))
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    if len(rules) > 62:
+        raise ValueError("at most 62 rules")
+    queries = [trigram_query(r.regex) for r in rules]
+    grams = sorted({g for q in queries for g in _needed(q)})
+    given = Columns(docs, ("spans",))
+    # rows of equal id and text share a key, and so their candidates
+    text = F.coalesce(given["text"].cast("string"), F.lit(""))
+    key = F.xxhash64(given["doc_id"], text).alias("key")
     if grams:
-        found = keyed.join(candidates(postings(keyed, grams), rules), "_key", "left")
+        found = written(candidates(postings(given.rows.select(key, text.alias("text")), grams), rules), "secret-candidates")
+        rows = given.rows.withColumn("key", key).join(found, "key", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     else:
-        found = keyed.withColumn("_rules", F.array().cast("array<string>"))
+        rows = given.rows.withColumn("mask", F.lit(0))
     each = []
-    for i, r in enumerate(rules):
-        maybe = F.array_contains(F.coalesce("_rules", F.array().cast("array<string>")), r.kind) if queries[r.kind] is not None else F.lit(True)
-        each.append(F.when(maybe & F.rlike("_text", F.lit(r.regex)), _spans(F.col("_text"), r, i)).otherwise(none))
-    spans = F.array_sort(F.concat(*each))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c != "spans"], spans.alias("spans"))
+    for i, (r, q) in enumerate(zip(rules, queries)):
+        maybe = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 if q is not None else F.lit(True)
+        each.append(F.when(maybe & F.rlike(text, F.lit(r.regex)), _spans(text, r, i)).otherwise(F.array().cast(SPANS)))
+    return given.named(rows.withColumn("spans", F.array_sort(F.concat(*each))), "spans")
 
 
 def labelled(spans: Column) -> Column:
@@ -200,18 +253,41 @@ def labelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with the characters of every span replaced by one ``mark`` per run of overlapping spans; n_chars follows."""
-    found = scan(docs, rules)
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of ``docs`` with the characters of every span replaced by one ``mark`` per run of overlapping spans; n_chars follows.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", begin, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    Texts without a span, null ones among them, stay as they are, and so do all other columns, whatever their names,
+    and repeated rows. An empty table gives no rows.
+    """
+    found = Columns(scan(docs, rules))
+    text, spans = found["text"], F.col(f"c{len(found.names) - 1}")  # scan's own column comes last
+
+    def one(base: Column, piece: Column) -> Callable[[Column, Column], Column]:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(piece, acc["at"] - base + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+
+        return step
+
+    none = F.array().cast("array<string>")
+
+    def chunk(acc: Column, c: Column) -> Column:
+        end = F.array_max(F.transform(c, lambda s: s["end"]))
+        piece = F.substring(text, acc["at"] + 1, F.greatest(end - acc["at"], F.lit(0)))
+        inner = _once(piece, lambda p: F.aggregate(c, F.struct(acc["at"].alias("at"), none.alias("out")), one(acc["at"], p)))
+        return _once(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    clean = _chunked(spans, begin, chunk, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    hit = F.size(spans) > 0
+    out = found.rows.withColumn("clean", F.when(hit, clean).otherwise(text)).withColumn("hit", hit)
+    made = []
+    for i, name in enumerate(found.names[:-1]):
+        own = F.col(f"c{i}")
+        if found.fold(name) == "text":
+            own = F.col("clean")
+        elif found.fold(name) == "n_chars":
+            own = F.when(F.col("hit"), F.length("clean").cast("long")).otherwise(own)
+        made.append(own.alias(name))
+    return out.select(*made)

@@ -431,7 +431,7 @@ def test_wrapper_without_article():
 
     got = html_extract.extract_group([make(i) for i in range(5)] + [make(0)])
     assert got == [f"Body {i} alpha More {i * 7}" for i in range(5)] + ["Body 0 alpha More 0"]
-    assert html_extract.extract_group([make(1)] * 3) == [html_extract.content(html_extract.parse(make(1)))] * 3  # copies are no template
+    assert html_extract.extract_group([make(1)] * 3) == [html_extract.Content(html_extract.Page(make(1))).text()] * 3  # copies are no template
 
 
 SLOTS = {
@@ -506,9 +506,58 @@ def test_template_around_an_article():
 
 
 def test_tree_matching():
-    a, b = html_extract.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"), html_extract.parse("<div><p>x</p><h1>h</h1><ul><li>1<li>3</ul></div>")
-    assert html_extract.match(a, a) >= html_extract.match(b, a) > 1
-    assert html_extract.match(a, html_extract.parse("<table><tr><td>x</table>")) == 1
+    a, b = html_extract.Page("<div><p>x</p><ul><li>1<li>2</ul></div>"), html_extract.Page("<div><p>x</p><h1>h</h1><ul><li>1<li>3</ul></div>")
+    names = lambda p, found: sorted(p.tag[i] for i in found)
+    assert names(a, html_extract.match(a, a)) == ["div"] and names(a, html_extract.match(a, b)) == ["li", "p"]
+    assert html_extract.match(a, html_extract.Page("<table><tr><td>x</table>")) == []
+    labels = lambda s: [((c, ""), [0]) for c in s]
+    assert sorted(html_extract._matched(labels("abcde"), labels("axcye"))) == [(0, 0), (2, 2), (4, 4)]
+    long = [labels("ab" * 300 + "c" + "ba" * 300), labels("x" + "ba" * 300 + "c" + "ab" * 300)]
+    pairs = html_extract._matched(*long)
+    assert all(long[0][i][0] == long[1][j][0] for i, j in pairs) and len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs}) > 1000
+    assert all((i < k) == (j < m) for i, j in pairs[:50] for k, m in pairs[-50:] if i != k)
+
+
+def test_deep_and_broad_pages():
+    deep = "<div>" * 100_000 + "core {0}" + "</div>" * 100_000
+    broad = "".join(f"<p>a{{0}}</p><div>b{i}</div>" for i in range(25_000))
+    for source in (deep, broad, "<b>" * 50_000 + "<p>x {0}" * 3):
+        texts = html_extract.extract_group([page("<section>Menu</section>" + source.format(i)) for i in range(2)])
+        assert texts[0] != texts[1] and all("Menu" not in t for t in texts)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "page no-sidebar", "social-science", "search-results", "alert-story", "post with-share"])
+def test_names_alone_decide_nothing(name):
+    """A class word that happens to name a menu or notice doesn't empty the page."""
+    for body in (f"<div class='{name}'><p>The only text here</p></div>", f"<article><div class='{name}'><p>The only text here</p></div></article>", f"<div class='{name}'><article><p>The only text here</p></article></div>"):
+        assert html_extract.extract_group([page(body)]) == ["The only text here"]
+
+
+def test_two_pages_have_a_template():
+    pages = [page(f"<div>Site slogan here</div><div>Story {i} words</div>") for i in range(2)]
+    assert html_extract.extract_group(pages) == [f"Story {i} words" for i in range(2)]
+
+
+def unnamed(i, words):
+    """A page whose menu, notice and footer are plain elements, in two layouts."""
+    menu = "<div><div>Home</div><div>Latest</div><div>About us</div></div>"
+    story = f"<div><h1>Title {i}</h1><p>{words}</p><p>part {i * 7} more</p></div>"
+    notice, foot = "<section><p>We keep what you send</p></section>", "<div><p>Made here</p><p>All rights kept</p></div>"
+    return page(f"{menu}{notice}{story}{foot}" if i % 2 else f"<section>{menu}</section><div>{story}{notice}</div>{foot}")
+
+
+def test_template_decides_and_is_the_same_however_dealt(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"http://{'big' if i % 2 else f's{i % 30}'}.example/{i}", unnamed(i, " ".join(f"w{v}" for v in rng.integers(0, 50, 12)))) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for parts in (1, 7, 40):
+        seen.append({r["page_id"]: r["text"] for r in html_extract.extract(df.repartition(parts), host=100).collect()})
+    assert seen[0] == seen[1] == seen[2]
+    alone = html_extract.extract_group([h for _, _, h in rows], host=False)
+    assert sum(seen[0][i] != alone[i] for i in range(900)) == 900
+    for i, _, h in rows:
+        assert seen[0][i] == re.sub("<[^>]*>", " ", re.search("<h1>.*more", h)[0]).replace("  ", " ").replace("  ", " ").strip()
 
 
 def test_extract_frame(spark):
