@@ -8,8 +8,9 @@ distance is too large for its whole distance to be below the current k-th best.
 Survivors are scored exactly, in double precision, on the original vectors.
 
 The lists' centres are fitted on a bounded sample; every vector is indexed.
-Lists are cut into blocks of bounded size, each scanned by its own task for the
-queries that probe the list, so a list with a third of all vectors is spread.
+Lists are cut into blocks of bounded size, and so are the queries that probe a
+list; each pair of blocks is a group of its own. So a list with a third of all
+vectors is spread, and so is one that a third of all queries probe.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
-#: Vectors that the centres are fitted on, at most; vectors to a list, about; lists, at most.
-SAMPLE, LIST, MOST_LISTS = 16_384, 800, 1024
+#: Vectors that the centres are fitted on, at most; vectors to a list, about; lists, at most (four sampled vectors each).
+SAMPLE, LIST, MOST_LISTS = 16_384, 800, 4096
 #: Lists are probed until they hold this share of the true neighbours of TRIALS sampled vectors within the sample.
 COVER, TRIALS = 0.97, 512
-#: Vectors scanned by one task, about.
-BLOCK = 8192
+#: Vectors and queries in a pair of blocks, about.
+BLOCK, QUERIES = 8192, 4096
 #: Columns in a block; significance of the test that abandons a candidate (larger: fewer are abandoned wrongly).
 COLUMNS, EPSILON = 16, 2.1
 SEED = 7
@@ -59,12 +60,17 @@ def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
+def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The list of each row, block by block."""
+    return np.concatenate([np.argmax(x[i : i + 1024] @ centre.T, 1) for i in range(0, len(x), 1024)] or [np.zeros(0, np.int64)])
+
+
 def centres(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = SEED) -> np.ndarray:
     """Spherical k-means on rows of length 1; an emptied list restarts at a random row."""
     rng = np.random.Generator(np.random.PCG64(seed))
     c = sample[rng.choice(len(sample), lists, replace=False)].copy()
     for _ in range(rounds):
-        own = np.argmax(sample @ c.T, 1)
+        own = nearest(sample, c)
         sums = np.zeros_like(c)
         np.add.at(sums, own, sample)
         empty = np.flatnonzero((sums * sums).sum(1) < 1e-12)
@@ -75,7 +81,7 @@ def centres(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = SEED) -
 
 def probes_needed(sample: np.ndarray, centre: np.ndarray, k: int, cover: float = COVER, trials: int = TRIALS) -> int:
     """How many of its nearest lists a vector probes so that ``cover`` of its k nearest in the sample lie in them."""
-    own = np.argmax(sample @ centre.T, 1)
+    own = nearest(sample, centre)
     ranks = []
     for i in range(0, min(trials, len(sample)), 64):
         q = sample[i : min(i + 64, trials)]
@@ -129,13 +135,15 @@ def scan_list(x: np.ndarray, q: np.ndarray, skip: np.ndarray, k: int, columns: i
     return kept
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", cover: float = COVER, list_size: int = LIST, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", cover: float = COVER, list_size: int = LIST, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found to each query, its own id left out.
 
     Nearness is the cosine in double precision on the original vectors, ties to the smaller vec_id. Vectors that are
     null, zero or hold null or non-finite components take no part, as queries or candidates; nor do vectors of another
     length than most have. Rows that repeat an id with equal components count once. With fewer than k candidates all
-    are returned; an empty table gives no rows. Other columns, whatever their names, are not used.
+    are returned; an empty table gives no rows. Other columns, whatever their names, are not used. Any number of vectors
+    and queries: a group holds about ``block`` vectors and ``query_block`` queries of one list, each vector is sent once
+    for each block of queries of its list, each query once for each block of vectors of the lists that it probes.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -184,11 +192,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     placed = base.mapInArrow(assign(1, None), row)
     counts = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect()  # one row per list, MOST_LISTS at most
     sizes = {r["list"]: r["ids"] for r in counts}
-    cuts = {r["list"]: -(-r["n"] // block) for r in counts}
-    cut = F.element_at(F.create_map(*[F.lit(x) for p in cuts.items() for x in p]), F.col("list"))
     probing = asked.mapInArrow(assign(probes, sizes), row)
-    data = placed.withColumn("sub", F.pmod(F.xxhash64("id"), cut).cast("int")).withColumn("query", F.lit(False))
-    probing = probing.withColumn("sub", F.explode(F.sequence(F.lit(0), cut - 1))).withColumn("query", F.lit(True))
+    asking = {r["list"]: r["count"] for r in probing.groupBy("list").count().collect()}  # no more rows than that
+
+    def cut(many: dict[int, int], size: int):
+        """So many blocks to a list."""
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for w, n in many.items() for x in (w, -(-n // size))]), F.col("list")), F.lit(0)) if many else F.lit(0)
+
+    subs, asks = cut({r["list"]: r["n"] for r in counts}, block), cut(asking, query_block)
+    every = lambda n: F.explode(F.filter(F.sequence(F.lit(0), n), lambda i: i < n))  # noqa: E731  # none for a list without
+    data = placed.withColumn("sub", F.pmod(F.xxhash64("id"), subs).cast("int")).withColumn("ask", every(asks)).withColumn("query", F.lit(False))
+    probing = probing.withColumn("sub", every(subs)).withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), asks).cast("int")).withColumn("query", F.lit(True))
 
     def scan(t: pa.Table) -> pa.Table:
         ask = t.column("query").to_numpy()
@@ -208,7 +222,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
         a, b, c = zip(*out) if out else ((), (), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = data.unionByName(probing).groupBy("list", "sub").applyInArrow(scan, "query_id long, vec_id long, score double")
+    found = data.unionByName(probing).groupBy("list", "sub", "ask").applyInArrow(scan, "query_id long, vec_id long, score double")
     found = found.distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
