@@ -34,6 +34,13 @@ class Graph:
         return self.edges.select("src", "dst").repartition(self.parts, column).persist()
 
 
+    def by_with_loops(self) -> DataFrame:
+        """(src, dst, far) dealt by src and kept: every edge, far 1, and for each vertex a loop, far 0."""
+        far = self.edges.select("src", "dst", F.lit(1).cast("byte").alias("far"))
+        loops = self.vertices.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("byte").alias("far"))
+        return far.union(loops).repartition(self.parts, "src").persist()
+
+
 def stats(edges: DataFrame) -> DataFrame:
     """min_vert, max_vert, edge_count, vert_count (largest id + 1), in one row; nulls and 0 for an empty table."""
     row = edges.agg(F.min(F.least("src", "dst")).alias("min_vert"), F.max(F.greatest("src", "dst")).alias("max_vert"), F.count(F.lit(1)).alias("edge_count"))

@@ -36,10 +36,14 @@ def beg_pos(g: Graph) -> DataFrame:
 
 
 def csr_slots(g: Graph) -> DataFrame:
-    """(v, slot, dst): every edge's place in the adjacency array, neighbours ascending."""
-    own = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-    ranked = g.edges.withColumn("_own", own)
-    return ranked.join(beg_pos(g), F.col("src") == F.col("v")).select("v", (F.col("beg") + F.col("_own")).alias("slot"), "dst")
+    """(v, slot, dst): every edge's place in the adjacency array, neighbours ascending.
+
+    Places within a vertex come from a two-level sum over ranges of neighbours, so no task sees all edges of a hub.
+    """
+    pairs = g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    placed = prefix_sum(pairs, "k", ("src",), "dst").join(beg_pos(g), F.col("src") == F.col("v"))
+    last = F.col("beg") + F.col("cum") - 1
+    return placed.select("v", F.explode(F.sequence(last - F.col("k") + 1, last)).alias("slot"), "dst")
 
 
 def adjacency(g: Graph) -> DataFrame:
@@ -128,8 +132,9 @@ def partition_beg_pos(g: Graph, ranges: DataFrame) -> DataFrame:
 
 
 def write_layout(g: Graph, ranges: DataFrame, path: str, mode: str = "ignore") -> None:
-    """Edges by partition, clustered by source: one folder per (row, col)."""
-    assign(g.edges, ranges).withColumnsRenamed({"row": "prow", "col": "pcol"}).repartition("prow", "pcol").sortWithinPartitions("prow", "pcol", "src", "dst").write.mode(mode).partitionBy("prow", "pcol").parquet(path)
+    """Edges by partition, clustered by source: one folder per (row, col), a file for each range of sources or several."""
+    dealt = assign(g.edges, ranges).withColumnsRenamed({"row": "prow", "col": "pcol"}).repartition("prow", "pcol", F.floor(F.col("src") / RANGE))
+    dealt.sortWithinPartitions("prow", "pcol", "src", "dst").write.mode(mode).partitionBy("prow", "pcol").parquet(path)
 
 
 def validate_layout(offsets: DataFrame, counts: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from meshwright.operators import graph as ops
 from meshwright.operators import layout
 from meshwright.operators.graph import Graph
+from meshwright.sources import binary_layout, fixtures
 from meshwright.sources import edges as sources
-from meshwright.sources import fixtures
 
 from . import programs
-from .recovery import shared_dir
+from .recovery import own_dir
+from .superstep import metrics_frame
 
 ROWS, COLS = 4, 4
 #: Merging of blocks: longest chunk, gap that ends one.
@@ -159,17 +160,46 @@ _add("msbfs_frontier", "f1", lambda g: programs.source_levels(programs.multi_sou
 
 
 def _text_trip(g: Graph) -> DataFrame:
-    path = f"{shared_dir(g.edges.sparkSession)}/edges-{uuid.uuid4().hex}"
+    path = f"{own_dir(g.edges.sparkSession)}/edges-{uuid.uuid4().hex}"
     sources.write_text_edges(g.edges, path)
     return sources.read_text_edges(g.edges.sparkSession, path)
 
 
 def _binary_trip(g: Graph) -> DataFrame:
-    path = f"{shared_dir(g.edges.sparkSession)}/edges-{uuid.uuid4().hex}"
+    path = f"{own_dir(g.edges.sparkSession)}/edges-{uuid.uuid4().hex}"
     sources.write_binary_edges(g.edges, path)
     return sources.read_binary_edges(g.edges.sparkSession, path)
 
 
+def _files_trip(g: Graph) -> DataFrame:
+    path = f"{own_dir(g.edges.sparkSession)}/files-{uuid.uuid4().hex}"
+    sources.write_edge_files(g.edges.repartition(5), path)
+    return sources.read_binary_edges(g.edges.sparkSession, f"{path}/*.bin")
+
+
+def _layout_trip(g: Graph) -> DataFrame:
+    path = f"{own_dir(g.edges.sparkSession)}/layout-{uuid.uuid4().hex}"
+    binary_layout.write_layout_files(g, layout.partition_ultra(g, ROWS, COLS), path)
+    return binary_layout.read_layout_files(g.edges.sparkSession, path)
+
+
+def _dirty_trip(g: Graph) -> DataFrame:
+    """Edges as text lines, each after lines that must be skipped."""
+    junk = ["% comment", "# comment 1 2", "", "  ", "only", "1 x", "9999999999999999999 1", "1.5 2", "12e3 4"]
+    line = F.concat_ws("\t ", F.lit(""), "src", "dst", F.lit("0.25"))
+    return sources.parse_edge_lines(g.edges.select(F.explode(F.array(*map(F.lit, junk), line)).alias("value")))
+
+
+def _bfs_metrics(g: Graph) -> DataFrame:
+    rows: list[dict] = []
+    programs.bfs(g, ops.max_degree_vertex(g.edges).first()["v"], metrics=rows)
+    return metrics_frame(g.edges.sparkSession, rows).select("step", "frontier")
+
+
+_add("bfs_metrics", "f1", _bfs_metrics, "SELECT l::INTEGER AS step, count(*) frontier FROM r WHERE l > 0 GROUP BY 1", _BFS, "RECURSIVE")
+_add("bin_roundtrip", "f1", _files_trip, "SELECT src, dst FROM e")
+_add("layout_roundtrip", "f2", _layout_trip, "SELECT src, dst FROM e")
+_add("text_ingest_dirty", "f1", _dirty_trip, "SELECT src, dst FROM e")
 _add("text_ingest_roundtrip", "f1", _text_trip, "SELECT src, dst FROM e")
 _add("binary_ingest_roundtrip", "f4", _binary_trip, "SELECT src, dst FROM e")
 _add("symmetrize_dedupe", "f4", lambda g: sources.dedupe(sources.symmetrize(g.edges)), "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)")

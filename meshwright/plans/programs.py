@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,20 +13,32 @@ from meshwright.operators.components import connected_components
 from meshwright.operators.graph import Graph, degrees, max_degree_vertex
 
 from .recovery import cut
-from .superstep import run, superstep
+from .superstep import hops, run, spread, superstep
 
 
 def bfs(g: Graph, root: int, max_depth: int | None = None, metrics: list[dict] | None = None) -> DataFrame:
-    """(v, level) of every vertex reached from ``root`` along out-edges. A root outside 0..n-1 reaches nothing."""
-    edges = g.by("src")
-    state = g.vertices.select("v", F.when(F.col("v") == root, 0).cast("int").alias("level")).repartition(g.parts, "v")
-
-    def step(s: DataFrame, i: int) -> DataFrame:
-        return superstep(s, edges, F.col("level") == i - 1, F.lit(i), F.min, {"level": F.coalesce("level", "msg").cast("int")})
+    """(v, level) of every vertex reached from ``root`` along out-edges. A root outside 0..n-1 reaches nothing.
 
-    out = run(state, step, lambda i: F.col("level") == i, max_depth, metrics=metrics)
+    Several hops make a plan (see ``hops``). ``metrics``, if given, gets a row for each level: step, frontier, seconds.
+    """
+    edges = g.by_with_loops()
+    state = cut(g.vertices.select("v", F.when(F.col("v") == root, 0).cast("int").alias("level")).repartition(g.parts, "v"))
+    done, front = 0, 1
+    while front and (max_depth is None or done < max_depth):
+        began = time.perf_counter()
+        n = hops(g.n, front)
+        n = n if max_depth is None else min(n, max_depth - done)
+        ball = spread(state.filter(F.col("level") == done), edges, n, lambda i: {"level": (F.col("level") + F.col("far"), F.min)})
+        ball = ball.select(F.col("v").alias("_v"), F.col("level").alias("_l"))
+        state = cut(state.join(ball, F.col("v") == F.col("_v"), "left").select("v", F.coalesce("level", "_l").cast("int").alias("level")))
+        found = {r["level"]: r["count"] for r in state.filter(F.col("level") > done).groupBy("level").count().collect()}  # n rows at most
+        seconds = (time.perf_counter() - began) / n
+        if metrics is not None:
+            metrics += [{"step": i, "frontier": found[i], "seconds": seconds} for i in range(done + 1, done + n + 1) if i in found]
+        done += n
+        front = found.get(done, 0)
     edges.unpersist()
-    return out.filter("level is not null").select("v", "level")
+    return state.filter("level is not null")
 
 
 def level_counts(levels: DataFrame) -> DataFrame:
@@ -44,20 +57,34 @@ def multi_source(g: Graph, sources: list[int]) -> DataFrame:
     """
     if not 0 < len(set(sources)) == len(sources) < 64:
         raise ValueError("1 to 63 different sources")
-    edges = g.by("src")
+    edges = g.by_with_loops()
     own = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("v") == s, F.lit(1 << i)).otherwise(0).cast("long") for i, s in enumerate(sources)])
-    entry = lambda level, mask: F.array(F.struct(F.lit(level).cast("int").alias("level"), mask.alias("mask")))
-    none = F.array().cast("array<struct<level:int,mask:bigint>>")
-    state = g.vertices.select("v", own.alias("seen"), own.alias("front")).withColumn("history", F.when(F.col("seen") != 0, entry(0, F.col("seen"))).otherwise(none)).repartition(g.parts, "v")
-
-    def step(s: DataFrame, i: int) -> DataFrame:
-        fresh = F.coalesce(new_bits(F.col("msg"), F.col("seen")), F.lit(0).cast("long"))
-        apply = {"seen": F.col("seen").bitwiseOR(fresh), "front": fresh, "history": F.when(fresh != 0, F.concat("history", entry(i, fresh))).otherwise(F.col("history"))}
-        return superstep(s, edges, F.col("front") != 0, F.col("front"), F.bit_or, apply)
-
-    out = run(state, step, lambda i: F.col("front") != 0)
+    entry = lambda level, mask: F.struct(F.lit(level).cast("int").alias("level"), mask.alias("mask"))
+    state = g.vertices.select("v", own.alias("seen"), own.alias("front")).withColumn("history", F.filter(F.array(entry(0, F.col("seen"))), lambda h: h["mask"] != 0))
+    state = cut(state.repartition(g.parts, "v"))
+    done, front, none = 0, len(sources), F.lit(0).cast("long")
+    while front:
+        n = hops(g.n, front)
+
+        # _mj: bits of the sources that j hops lead to a vertex from; a hop makes the next one and keeps those before
+        def send(i: int) -> dict:
+            here, far = [(f"_m{j}", F.when(F.col("far") == 0, F.col(f"_m{j}"))) for j in range(i)], F.when(F.col("far") == 1, F.col(f"_m{i - 1}"))
+            return {c: (x, F.bit_or) for c, x in [*here, (f"_m{i}", far)]}
+
+        start = state.filter("front <> 0").select("v", F.col("front").alias("_m0"))
+        ball = spread(start, edges, n, send).withColumnRenamed("v", "_v")
+        known, fresh = F.col("seen"), []
+        both = state.join(ball, F.col("v") == F.col("_v"), "left")
+        for j in range(1, n + 1):
+            both = both.withColumn(f"_f{j}", F.coalesce(new_bits(F.col(f"_m{j}"), known), none))
+            fresh.append(F.col(f"_f{j}"))
+            known = known.bitwiseOR(fresh[-1])
+        history = F.filter(F.array(*[entry(done + j, f) for j, f in enumerate(fresh, 1)]), lambda h: h["mask"] != 0)
+        state = cut(both.select("v", known.alias("seen"), fresh[-1].alias("front"), F.concat("history", history).alias("history")))
+        done += n
+        front = state.filter("front <> 0").count()
     edges.unpersist()
-    return out.select("v", "seen", "history")
+    return state.select("v", "seen", "history")
 
 
 def source_masks(reached: DataFrame) -> DataFrame:

@@ -22,8 +22,37 @@ CHAIN = 2
 
 
 def metrics_frame(spark: SparkSession, metrics: list[dict]) -> DataFrame:
-    """(step, seconds, active) of a finished run."""
-    return spark.createDataFrame([(m["step"], m["seconds"], m["active"]) for m in metrics], "step int, seconds double, active boolean")
+    """(step, frontier, seconds) of a finished run: the vertices that a step made active, and the seconds of the plan that it was part of, spread over its steps."""
+    return spark.createDataFrame([(m["step"], m["frontier"], m["seconds"]) for m in metrics], "step int, frontier long, seconds double")
+
+
+#: Hops to a plan of ``hops``, at most; it takes fewer where they could meet more than this share of the vertices again.
+MOST_HOPS, AGAIN = 8, 4
+
+
+def hops(n: int, frontier: int) -> int:
+    """How many hops a plan takes from a frontier.
+
+    Within a plan nothing tells a hop which vertices were reached before, so a small frontier's neighbourhood is walked
+    again up to so many times; it saves as many checkpoints and jobs. A large frontier goes two hops at a time.
+    """
+    return max(2, min(MOST_HOPS, n // (AGAIN * max(1, frontier))))
+
+
+def spread(start: DataFrame, edges: DataFrame, count: int, send: Callable[[int], dict[str, tuple[Column, Callable[[Column], Column]]]]) -> DataFrame:
+    """The rows (v, ...) that ``start`` becomes in ``count`` hops over ``edges`` (src, dst, far).
+
+    ``far`` is 1 for an edge and 0 for each vertex's loop to itself, over which a row stays where it is. ``send(i)`` gives
+    hop i's columns: what goes over an edge, by its ``far``, and how what arrives is combined. Edges are dealt by src and
+    results by v, so a hop shuffles its combined messages once and names the last hop's rows once.
+    """
+    rows = start
+    for i in range(1, count + 1):
+        columns = send(i)
+        sent = rows.withColumnRenamed("v", "_v").join(edges, F.col("_v") == F.col("src"))
+        sent = sent.select(F.col("dst").alias("v"), *[x.alias(c) for c, (x, _) in columns.items()])
+        rows = sent.groupBy("v").agg(*[combine(F.col(c)).alias(c) for c, (_, combine) in columns.items()])
+    return rows
 
 
 def superstep(state: DataFrame, edges: DataFrame, active: Column, message: Column, combine: Callable[[Column], Column], apply: dict[str, Column]) -> DataFrame:
@@ -38,7 +67,7 @@ def superstep(state: DataFrame, edges: DataFrame, active: Column, message: Colum
 def run(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], live: Callable[[int], Column], most: int | None = None, chain: int = CHAIN, metrics: list[dict] | None = None) -> DataFrame:
     """Steps ``state`` (step numbers from 1) until no row meets ``live`` of the last step, or ``most`` steps are done.
 
-    ``metrics``, if given, gets a row for each chained plan: its last step, its seconds, and whether work was left.
+    ``metrics``, if given, gets a row for each chained plan: its last step, its seconds, and how many rows are still live.
     """
     state = cut(state)
     done = 0
@@ -49,9 +78,10 @@ def run(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], live: Cal
             state = step(state, done + i)
         state = cut(state)
         done += n
-        left = bool(state.filter(live(done)).limit(1).count())
+        left = state.filter(live(done))
+        left = left.limit(1).count() if metrics is None else left.count()
         if metrics is not None:
-            metrics.append({"step": done, "seconds": time.perf_counter() - began, "active": left})
+            metrics.append({"step": done, "frontier": left, "seconds": time.perf_counter() - began})
         if not left:
             break
     return state

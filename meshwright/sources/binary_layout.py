@@ -7,7 +7,8 @@ ids, ``<prefix>_beg-RxC-row-ranger.bin`` u32 row boundaries,
 ``<prefix>-glb-vert-edge-count.bin`` u32 smallest id, u32 largest id and i64
 edge count. Block traces hold i64 block ids. Within Spark, Parquet
 (``layout.write_layout``) is the better choice: these files hold a partition
-each, and a partition is read or made by one task.
+each, and a partition is read by one task. They are made in parts of a range of
+sources each, which one task per file then writes one after the other.
 """
 
 from __future__ import annotations
@@ -23,39 +24,64 @@ from pyspark.sql import functions as F
 from meshwright.operators import layout
 from meshwright.operators.graph import Graph, stats
 
+from .flat_files import write_files
+
 PART = r"_(beg|csr)\.(\d+)_(\d+)_of_(\d+)x(\d+)\.bin$"
 
 
 def layout_files(g: Graph, ranges: DataFrame, prefix: str) -> DataFrame:
-    """(name, content): every file of the layout; a sink writes each content under its name. Ids must fit 32 bits."""
+    """(name, part, content): every file of the layout in parts, each of the sources of one range. Ids must fit 32 bits."""
     rows, cols = (ranges.agg(F.max(c)).first()[0] + 1 for c in ("row", "col"))
-    beg = layout.partition_beg_pos(g, ranges).groupBy("row", "col").agg(F.sort_array(F.collect_list(F.struct("v", "end"))).alias("x"))
-    csr = layout.assign(g.edges, ranges).groupBy("row", "col").agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("x"))
+    part = lambda v: F.floor(F.col(v) / layout.RANGE).alias("part")
+    beg = layout.partition_beg_pos(g, ranges).groupBy("row", "col", part("v")).agg(F.sort_array(F.collect_list(F.struct("v", "end"))).alias("x"))
+    csr = layout.assign(g.edges, ranges).groupBy("row", "col", part("src")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("x"))
     name = lambda kind: F.format_string(f"{prefix}_{kind}.%d_%d_of_{rows}x{cols}.bin", "row", "col")
-    grid = ranges.select("row", "col")
     none = F.array().cast("array<bigint>")
+    first = ranges.select("row", "col", F.lit(-1).cast("long").alias("part"))  # each file begins with a part of its own: the leading 0, or nothing
 
     def pack(kind: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cells = []
-                for values in b.column(1).to_pylist():
-                    v = np.array(values, np.int64)
+                for values, at in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
+                    v = np.array([0] if at < 0 and kind == "beg" else values, np.int64)
                     if kind == "csr" and len(v) and not 0 <= v.min() <= v.max() < 2**32:
                         raise ValueError("ids need more than 32 bits")
-                    cells.append(v.astype("<u4").tobytes() if kind == "csr" else np.concatenate([[0], v]).astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["name", "content"])
+                    cells.append(v.astype("<u4" if kind == "csr" else "<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells, pa.binary())], ["name", "part", "content"])
 
         return run
 
     out = None
     for kind, frame, field in (("beg", beg, "end"), ("csr", csr, "dst")):
-        full = grid.join(frame, ["row", "col"], "left").select(name(kind).alias("name"), F.coalesce(F.transform("x", lambda s: s[field]), none).alias("x"))
-        part = full.mapInArrow(pack(kind), "name string, content binary")
-        out = part if out is None else out.union(part)
+        full = frame.select("row", "col", "part", F.transform("x", lambda s: s[field]).alias("x")).union(first.withColumn("x", none))
+        made = full.select(name(kind).alias("name"), "part", "x").mapInArrow(pack(kind), "name string, part bigint, content binary")
+        out = made if out is None else out.union(made)
     return out
 
 
+def write_layout_files(g: Graph, ranges: DataFrame, path: str, prefix: str = "graph") -> list[str]:
+    """Writes all files of the layout, the small ones among them; their names."""
+    cells = layout_files(g, ranges, prefix).repartition("name").sortWithinPartitions("name", "part")
+    made = write_files(cells.select("name", "content"), path)
+    small = [(n, bytearray(c)) for n, c in small_files(g, ranges, prefix).items()]
+    return sorted(made + write_files(g.edges.sparkSession.createDataFrame(small, "name string, content binary").coalesce(1), path))
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, row_beg, row_end, col_beg, col_end) from the range files of a folder; as many rows as its partitions."""
+    rows, cols = (np.frombuffer(spark.read.format("binaryFile").load(f"{path}/*-{kind}-ranger.bin").first()["content"], "<u4").tolist() for kind in ("row", "col"))
+    n = len(cols) // (len(rows) - 1)
+    made = [(i, j, rows[i], rows[i + 1], cols[i * n + j], cols[i * n + j + 1]) for i in range(len(rows) - 1) for j in range(n - 1)]
+    return spark.createDataFrame(made, "row long, col long, row_beg long, row_end long, col_beg long, col_end long")
+
+
+def read_layout_files(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) from all files of a layout, its range files giving the row boundaries."""
+    starts = [r["row_beg"] for r in read_ranges(spark, path).filter("col = 0").orderBy("row").collect()]  # a number per row
+    return edges_of_layout(spark.read.format("binaryFile").load(f"{path}/*.bin"), starts)
+
+
 def small_files(g: Graph, ranges: DataFrame, prefix: str) -> dict[str, bytes]:
     """Metadata and range files: a few numbers each, as many as the partition's parameters say."""
     s = stats(g.edges).first()

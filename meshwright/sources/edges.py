@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .flat_files import write_files
+
 #: Bytes of one packed edge: two little-endian 64-bit integers.
 EDGE_BYTES = 16
 COMMENTS = ("%", "#")
@@ -17,13 +19,14 @@ COMMENTS = ("%", "#")
 def parse_edge_lines(lines: DataFrame, value: Column | str = "value") -> DataFrame:
     """(src, dst) of text lines: the first two whitespace-separated integers.
 
-    Comment and blank lines are skipped, and lines whose first two tokens aren't integers; further tokens (weights) are
-    ignored. Works on batch and streaming frames alike.
+    Comment and blank lines are skipped, and lines whose first two tokens aren't integers of 64 bits; further tokens
+    (weights) are ignored. Works on batch and streaming frames alike.
     """
     text = F.trim(F.regexp_replace(F.col(value) if isinstance(value, str) else value, r"\s+", " "))
     token = F.split(text, " ")
     rows = lines.filter(~F.substring(text, 1, 1).isin(*COMMENTS)).select(token.alias("_t"))
-    pair = rows.select(F.try_to_number(F.get("_t", F.lit(0)), F.lit("S9999999999999999999")).cast("long").alias("src"), F.try_to_number(F.get("_t", F.lit(1)), F.lit("S9999999999999999999")).cast("long").alias("dst"))
+    number = lambda i: F.when(F.get("_t", F.lit(i)).rlike(r"^[+-]?[0-9]+$"), F.get("_t", F.lit(i)).try_cast("bigint"))
+    pair = rows.select(number(0).alias("src"), number(1).alias("dst"))
     return pair.dropna()
 
 
@@ -54,6 +57,19 @@ def pack_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().mapInArrow(pack, "content binary")
 
 
+def write_edge_files(edges: DataFrame, path: str, prefix: str = "edges") -> list[str]:
+    """Packed edges as flat files ``<prefix>-00000.bin`` and so on, one for each partition that holds any; their names."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name = f"{prefix}-{TaskContext.get().partitionId():05d}.bin"
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows, pa.string()), b.column(0)], ["name", "content"])
+
+    return write_files(pack_edges(edges).mapInArrow(named, "name string, content binary"), path)
+
+
 def unpack_edges(packed: DataFrame, content: str = "content", piece: int = 1 << 16) -> DataFrame:
     """(src, dst) of packed cells; a cell whose length isn't a multiple of 16 fails the job. Yields batches of bounded size."""
 

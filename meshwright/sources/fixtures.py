@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Name: the tables it reads, and its SQL with the tables in braces.
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
@@ -14,7 +15,19 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _following(events: DataFrame) -> DataFrame:
+    """f4 without a window over all events: followers within an hour, and the first event of the next hour with any."""
+    at = F.struct("ts", "event_id")
+    rows = events.select("user_id", at.alias("at"), F.date_trunc("hour", "ts").alias("hour"))
+    own = rows.withColumn("dst", F.lead("user_id").over(Window.partitionBy("hour").orderBy("at")))
+    first = rows.groupBy("hour").agg(F.min_by("user_id", "at").alias("head"))
+    after = first.select("hour", F.lead("head").over(Window.orderBy("hour")).alias("next"))  # a row per hour
+    return own.join(after, "hour").select(F.col("user_id").alias("src"), F.coalesce("dst", "next").alias("dst")).dropna(subset=["dst"])
+
+
 def edges(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "f4":
+        return _following(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr("cast(src as bigint) src", "cast(dst as bigint) dst")
     tables, sql = SQL[name]
     views = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     return spark.sql(sql, **views).selectExpr("cast(src as bigint) src", "cast(dst as bigint) dst")

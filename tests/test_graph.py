@@ -218,6 +218,7 @@ def test_hybrid_and_metrics(spark):
     assert rows(programs.components_hybrid(g), "v", "component") == rows(programs.components(g), "v", "component")
     metrics = []
     programs.bfs(g, 5, metrics=metrics)
-    assert metrics and not metrics[-1]["active"] and metrics_frame(spark, metrics).count() == len(metrics)
+    found = {r["step"]: r["frontier"] for r in metrics_frame(spark, metrics).collect()}
+    assert found == {r["level"]: r["count"] for r in programs.bfs(g, 5).filter("level > 0").groupBy("level").count().collect()}
     assert rows(programs.level_counts(programs.bfs(g, 5)), "level", "frontier") == [(0, 1), (1, 1), (2, 1)]
     assert rows(programs.unreached(g, programs.bfs(g, 5)), "v") == [(v,) for v in (0, 1, 2, 3, 4, 8, 9, 10, 11)]

@@ -56,7 +56,13 @@ def test_binary_layout(spark, tmp_path):
     pairs = sorted([(a, (a * 7) % 20) for a in range(20)] + [(3, 4), (3, 4), (0, 19)])
     g = Graph(spark.createDataFrame(pairs, "src long, dst long"))
     ranges = layout.partition_ultra(g, 2, 3).cache()
-    files = {r["name"]: bytes(r["content"]) for r in binary_layout.layout_files(g, ranges, "g").collect()} | binary_layout.small_files(g, ranges, "g")
+    files = binary_layout.small_files(g, ranges, "g")
+    for r in sorted(binary_layout.layout_files(g, ranges, "g").collect()):
+        files[r["name"]] = files.get(r["name"], b"") + bytes(r["content"])
+    made = str(tmp_path / "made")
+    assert binary_layout.write_layout_files(g, ranges, made, "g") == sorted(files)
+    assert {f: open(f"{made}/{f}", "rb").read() for f in files} == files
+    assert sorted(map(tuple, binary_layout.read_ranges(spark, made).collect())) == sorted(tuple(r[c] for c in ("row", "col", "row_beg", "row_end", "col_beg", "col_end")) for r in ranges.collect())
     assert len(files) == 2 * 6 + 3
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
