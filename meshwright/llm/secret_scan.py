@@ -199,17 +199,16 @@ def _chunked(items: Column, begin: Column, step: Callable[[Column, Column], Colu
 SPANS = "array<struct<start:int,order:int,end:int,kind:string>>"
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
+def _spans(text: Column, rule: Column) -> Column:
     """Verified spans of one rule in code points; a match's start is the length of all that was split off before it."""
-    regex = F.lit(rule.regex)
-    whole, value = F.regexp_extract_all(text, regex, F.lit(0)), F.regexp_extract_all(text, regex, F.lit(rule.group))
-    pieces = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("hit"), value.alias("value"))
+    whole, value = F.regexp_extract_all(text, rule["regex"], F.lit(0)), F.regexp_extract_all(text, rule["regex"], rule["group"])
+    pieces = F.arrays_zip(F.split(text, rule["regex"], -1).alias("gap"), whole.alias("hit"), value.alias("value"))
 
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        good = x["hit"].isNotNull() & (F.length(x["value"]) >= rule.least)
+        span = F.struct(start.alias("start"), rule["order"].alias("order"), end.alias("end"), rule["kind"].alias("kind"))
+        good = x["hit"].isNotNull() & (F.length(x["value"]) >= rule["least"])
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     def chunk(acc: Column, c: Column) -> Column:
@@ -241,11 +240,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         rows = given.rows.withColumn("key", key).join(found, "key", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     else:
         rows = given.rows.withColumn("mask", F.lit(0))
-    each = []
-    for i, (r, q) in enumerate(zip(rules, queries)):
-        maybe = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 if q is not None else F.lit(True)
-        each.append(F.when(maybe & F.rlike(text, F.lit(r.regex)), _spans(text, r, i)).otherwise(F.array().cast(SPANS)))
-    return given.named(rows.withColumn("spans", F.array_sort(F.concat(*each))), "spans")
+    # the rules are one array, so that the plan doesn't grow with them; bit 0: no trigram is mandatory
+    every = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(r.kind).alias("kind"), F.lit(r.regex).alias("regex"), F.lit(r.group).alias("group"), F.lit(r.least).alias("least"), F.lit(0 if q is None else 1 << i).cast("long").alias("bit")) for i, (r, q) in enumerate(zip(rules, queries))])
+    spans = _once(text, lambda t: F.flatten(F.transform(F.filter(every, lambda r: ((r["bit"] == 0) | (F.col("mask").bitwiseAND(r["bit"]) != 0)) & F.rlike(t, r["regex"])), lambda r: _spans(t, r))))
+    return given.named(rows.withColumn("spans", F.sort_array(spans)), "spans")
 
 
 def labelled(spans: Column) -> Column:
