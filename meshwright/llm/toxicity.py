@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Method: many voters (lexicon entries, words and word beginnings, mined from
-labelled rows that may be learned from; and a few surface patterns) vote on a
-bounded sample of documents. A generative label model, fitted by expectation
+labelled rows that may be learned from, once for being there and once for
+coming up often; and a few surface patterns) vote on a bounded sample of documents. A generative label model, fitted by expectation
 maximisation without labels, estimates each voter's rates under either class
 and the voters' correlations given the class; correlated voters share their
 weight. A linear classifier is trained on the posterior labels and scores every
@@ -27,11 +27,15 @@ VOTERS, FEATURES = 80, 256
 #: Penalty on the classifier's squared weights.
 RIDGE = 0.3
 #: A lexicon entry is found in so many learned rows of class 1, and so large a share of the rows that hold it is of class 1.
-MIN_SUPPORT, PRECISION = 5, 0.9
+MIN_SUPPORT, PRECISION = 4, 0.9
+#: A term that comes so often in a row is a second term of the row: a beginning that many of its words share.
+OFTEN = 3
 THRESHOLD = 0.7
 MODULUS, REST = 3, 1
 PATTERNS = 3
 
+#: The second term of each term.
+_SECOND = (avalanche(np.arange(1, (1 << BITS) + 1, dtype=U64)) >> U64(64 - BITS)).astype(np.int64)
 _OTHER = np.ones(256, bool)
 _OTHER[65:91] = _OTHER[97:123] = False
 _OTHER[128:] = False
@@ -62,8 +66,14 @@ def patterns(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def present(raw: np.ndarray, off: np.ndarray, of_interest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, term), of those of interest."""
+    """Distinct (row, term), of those of interest; a term that comes OFTEN has a second one beside it."""
     row, term = terms(raw, off)
+    if of_interest is not None:
+        keep = (of_interest | of_interest[_SECOND])[term]
+        row, term = row[keep], term[keep]
+    both, n = np.unique((row << BITS) | term, return_counts=True)
+    row, term, often = both >> BITS, both & ((1 << BITS) - 1), n >= OFTEN
+    row, term = np.concatenate([row, row[often]]), np.concatenate([term, _SECOND[term[often]]])
     if of_interest is not None:
         keep = of_interest[term]
         row, term = row[keep], term[keep]
@@ -160,7 +170,7 @@ def train(data: list[bytes], y: np.ndarray, voters: int = VOTERS, features: int
     df1, df0 = np.bincount(term[y[row] == 1], minlength=1 << BITS), np.bincount(term[y[row] == 0], minlength=1 << BITS)
     expected = (df0 + 0.5) * n1 / n0
     gain = (df1 - expected) / np.sqrt(expected + 1)
-    gain[(df1 < max(MIN_SUPPORT, n1 // 50)) | (df1 < PRECISION * (df1 + df0))] = 0
+    gain[(df1 < max(MIN_SUPPORT, n1 // 100)) | (df1 < PRECISION * (df1 + df0))] = 0
     lexicon = _entries(row, term, y, np.flatnonzero(gain > 0)[np.argsort(-gain[gain > 0], kind="stable")][: 40 * voters], voters)
     if not len(lexicon):
         return Model(np.zeros(1 << BITS), float(np.log(n1 / n0)))
