@@ -477,7 +477,8 @@ def link(docs: DataFrame) -> DataFrame:
     # written, so that the joins with it are plain ones, which are split where one set has very many copies
     reps = written(live.groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep")), "first-copies")
     first = live.join(reps.select("sig_a", "sig_b", "n", F.col("rep").alias("doc_id")), ["sig_a", "sig_b", "n", "doc_id"], "left_semi")
-    first = first.dropDuplicates(["doc_id", "sig_a", "sig_b"])
+    # written, too: four steps read it, and would each make the joins and the exchanges of texts again
+    first = written(first.dropDuplicates(["doc_id", "sig_a", "sig_b"]).select("doc_id", "n", "text", "entries", "df"), "first-sets")
     found = written(_candidates(_postings(first, ranges), False), "candidates")
     frequent = written(found.filter("shared = 0").select(F.col("a").alias("doc_id")).distinct(), "frequent")
     edges = _pairs(found)
