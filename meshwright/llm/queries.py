@@ -86,7 +86,28 @@ def _matches(order: int, r: secret_scan.Rule) -> str:
     return f"SELECT doc_id, '{r.kind}' kind, {order} ord, {r.least} least, string_split_regex(t, '{regex}') p, regexp_extract_all(t, '{regex}', 0) h, regexp_extract_all(t, '{regex}', {r.group}) v FROM d"
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 SQL: dict[str, str] = {
+    "op1_ngram_join": rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT r, md5(array_to_string(w[i:i + {ngram_join.SHINGLE - 1}], ' ')) h
+  FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {ngram_join.SHINGLE - 2}))) i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) n FROM g GROUP BY r),
+p AS MATERIALIZED (SELECT a.r x, b.r y, count(*) s FROM g a JOIN g b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r),
+k AS MATERIALIZED (SELECT x, y FROM p JOIN n u ON u.r = x JOIN n v ON v.r = y WHERE 100 * s >= {ngram_join.PERCENT} * (u.n + v.n - s)),
+e AS MATERIALIZED (SELECT DISTINCT u.doc_id a, v.doc_id b FROM (SELECT x, y FROM k UNION ALL SELECT y, x FROM k) JOIN d u ON u.r = x JOIN d v ON v.r = y),
+c(v, c) USING KEY (v) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(c.c) FROM c JOIN e ON e.a = c.v JOIN recurring.c x ON x.v = e.b WHERE c.c < x.c GROUP BY e.b))
+SELECT doc_id, coalesce(n.n, 0)::BIGINT n_shingles, coalesce(c.c, doc_id) component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c ON c.v = doc_id""",
+    "op2_substring_dedup": rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') w FROM documents),
+h AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ')) h FROM (SELECT r, w, unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) i FROM d WHERE len(w) >= {substring_dedup.WINDOW})),
+gone AS MATERIALIZED (SELECT DISTINCT r, i + unnest(range({substring_dedup.WINDOW})) i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+word AS (SELECT r, unnest(w) word, unnest(range(1, len(w) + 1)) i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) t FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n.n, 0)::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)""",
     "op4_secret_scan": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
 m AS ({" UNION ALL ".join(_matches(i, r) for i, r in enumerate(secret_scan.RULES))}),
