@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.operators import graph as ops
-from meshwright.operators import layout
+from meshwright.operators import layout, reads
 from meshwright.operators.graph import Graph
 from meshwright.sources import binary_layout, fixtures
 from meshwright.sources import edges as sources
@@ -196,6 +196,32 @@ def _bfs_metrics(g: Graph) -> DataFrame:
     return metrics_frame(g.edges.sparkSession, rows).select("step", "frontier")
 
 
+_add("frontier_queue", "f1", lambda g: reads.queue(g.vertices, F.col("v") % 97 == 0), "SELECT row_number() OVER (ORDER BY v) - 1 place, v FROM vs WHERE v % 97 = 0")
+_add(
+    "sorted_runs", "f1", lambda g: reads.sorted_runs(layout.csr_slots(g).select("slot", "dst"), "slot", "dst"),
+    f"SELECT (s // {reads.RUN} * {reads.RUN} + row_number() OVER (PARTITION BY s // {reads.RUN} ORDER BY dst) - 1)::BIGINT slot, dst FROM (SELECT beg + row_number() OVER (PARTITION BY src ORDER BY dst) - 1 s, dst FROM e JOIN bp ON v = src)", _CUM,
+)
+_add(
+    "partition_preview", "f1", lambda g: reads.preview(g, layout.partition_ultra(g, ROWS, COLS)),
+    'SELECT * FROM (SELECT "row", col, row_number() OVER (PARTITION BY "row", col ORDER BY src, dst) - 1 place, src, dst FROM pe) WHERE place < 10', f"{_ULTRA}, {_ASSIGN}",
+)
+_add(
+    "range_overlaps", "f1", lambda g: reads.overlaps(layout.partition_ultra(g, ROWS, COLS)),
+    'SELECT pu."row", pu.col, rr.k AS other FROM pu JOIN rr ON col_beg < rr.e AND rr.b < col_end AND rr.b < rr.e AND col_beg < col_end', _ULTRA,
+)
+_SCAN = f"{_CUM}, sc AS MATERIALIZED (SELECT (blk // {MOST})::BIGINT chunk, blk::BIGINT blk_beg, least(blk + {MOST}, ({_M} + {layout.BLOCK - 1}) // {layout.BLOCK})::BIGINT blk_end, CASE WHEN blk = 0 THEN 0 ELSE min(v) END::BIGINT beg_vert FROM ({_BLK('')}) WHERE blk % {MOST} = 0 GROUP BY blk)"
+_add("scan_chunks", "f2", lambda g: reads.scan_chunks(g, MOST), "SELECT chunk, blk_beg, blk_end, beg_vert FROM sc", _SCAN)
+_add(
+    "chunk_clipping", "f2", lambda g: reads.clipped(layout.beg_pos(g), reads.scan_chunks(g, MOST)),
+    f'SELECT chunk, v, greatest(beg - blk_beg * {layout.BLOCK}, 0)::BIGINT beg, least("end" - blk_beg * {layout.BLOCK}, (blk_end - blk_beg) * {layout.BLOCK})::BIGINT "end" FROM bp JOIN sc ON beg < blk_end * {layout.BLOCK} AND "end" > blk_beg * {layout.BLOCK} WHERE "end" > beg', _SCAN,
+)
+_LEVEL_BRK = f"(b.blk + 1 - w.beg > {MOST} OR w.gap + b.blk - w.blk - 1 >= {USELESS})"
+_add(
+    "bfs_bytes", "f1", lambda g: reads.level_bytes(g, _from_root(g), MOST, USELESS),
+    f"SELECT l::INTEGER AS level, sum(k)::BIGINT blocks, count(*) chunks, (sum(e - b) * {layout.BLOCK * reads.ID_BYTES})::BIGINT bytes FROM (SELECT l, chunk, count(*) k, min(blk) b, max(blk) + 1 e FROM w GROUP BY 1, 2) GROUP BY 1",
+    f"{_BFS}, {_CUM}, b AS MATERIALIZED (SELECT l, blk, row_number() OVER (PARTITION BY l ORDER BY blk) rn FROM (SELECT DISTINCT l, blk FROM ({_BLK('')}) JOIN r USING (v))), w AS (SELECT l, rn, blk, blk beg, 0 gap, 0 chunk FROM b WHERE rn = 1 UNION ALL SELECT b.l, b.rn, b.blk, CASE WHEN {_LEVEL_BRK} THEN b.blk ELSE w.beg END, CASE WHEN {_LEVEL_BRK} THEN 0 ELSE w.gap + b.blk - w.blk - 1 END, w.chunk + CASE WHEN {_LEVEL_BRK} THEN 1 ELSE 0 END FROM w JOIN b ON b.l = w.l AND b.rn = w.rn + 1)",
+    "RECURSIVE",
+)
 _add("bfs_metrics", "f1", _bfs_metrics, "SELECT l::INTEGER AS step, count(*) frontier FROM r WHERE l > 0 GROUP BY 1", _BFS, "RECURSIVE")
 _add("bin_roundtrip", "f1", _files_trip, "SELECT src, dst FROM e")
 _add("layout_roundtrip", "f2", _layout_trip, "SELECT src, dst FROM e")
