@@ -18,6 +18,8 @@ from .graph import Graph, degrees
 RANGE = 1 << 16
 #: Neighbour ids in a block.
 BLOCK = 128
+#: Steps that all ids are cut into, by which an id finds the range that it lies in.
+STEPS = 1 << 10
 
 
 def prefix_sum(df: DataFrame, value: str, within: tuple[str, ...] = (), key: str = "v", into: str = "cum", width: int = RANGE) -> DataFrame:
@@ -51,6 +53,14 @@ def adjacency(g: Graph) -> DataFrame:
     return g.edges.groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
+def adjacency_chunks(g: Graph, most: int = RANGE) -> DataFrame:
+    """(v, chunk, neighbours): the same lists in chunks of at most ``most`` neighbours, so that no row holds all of a hub's."""
+    pairs = g.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    placed = prefix_sum(pairs, "k", ("src",), "dst")
+    places = placed.select(F.col("src").alias("v"), "dst", F.explode(F.sequence(F.col("cum") - F.col("k"), F.col("cum") - 1)).alias("place"))
+    return places.groupBy("v", F.floor(F.col("place") / most).alias("chunk")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+
+
 def _bounds(k_table: DataFrame, cuts: DataFrame, parts: int, n: int, name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """From cuts (k, cut) of k = 1..parts-1: begin and end of each range; a cut that is never reached lies at n."""
     full = k_table.join(cuts, [*within, "k"], "left").withColumn("cut", F.when(F.col("k") == 0, 0).otherwise(F.coalesce("cut", F.lit(n))))
@@ -91,10 +101,21 @@ def partition_independent(g: Graph, rows: int, cols: int) -> DataFrame:
     return _equi_depth(g, "src", rows, "row").crossJoin(_equi_depth(g, "dst", cols, "col")).select("row", "col", "row_beg", "row_end", "col_beg", "col_end")
 
 
-def assign_rows(edges: DataFrame, row_ranges: DataFrame) -> DataFrame:
-    """Edges with the row strip of their source. The ranges are as many as the parameter says, so they are broadcast."""
-    r = F.broadcast(row_ranges.select("row", "row_beg", "row_end").distinct())
-    return edges.join(r, (F.col("src") >= F.col("row_beg")) & (F.col("src") < F.col("row_end"))).select("src", "dst", "row")
+def _located(edges: DataFrame, end: str, ranges: DataFrame, name: str, n: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Edges joined with the range that one of their ends lies in, by equal steps.
+
+    Tables of ranges have as many rows as the parameters say, STEPS more a strip, and are broadcast.
+    """
+    width = -(-max(n, 1) // STEPS)
+    low, high = F.col(f"{name}_beg"), F.col(f"{name}_end")
+    steps = ranges.filter(low < high).withColumn("_step", F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))))
+    met = edges.withColumn("_step", F.floor(F.col(end) / width)).join(F.broadcast(steps), ["_step", *on])
+    return met.filter((F.col(end) >= low) & (F.col(end) < high))
+
+
+def assign_rows(g: Graph, row_ranges: DataFrame) -> DataFrame:
+    """Edges with the row strip of their source."""
+    return _located(g.edges.select("src", "dst"), "src", row_ranges.select("row", "row_beg", "row_end").distinct(), "row", g.n).select("src", "dst", "row")
 
 
 def partition_ultra(g: Graph, rows: int, cols: int) -> DataFrame:
@@ -103,27 +124,26 @@ def partition_ultra(g: Graph, rows: int, cols: int) -> DataFrame:
     row_ranges = _equi_depth(g, "src", rows, "row")
     total = g.edges.count()
     step = max(total - 1, 0) // (rows * cols) + 1
-    deg = assign_rows(g.edges, row_ranges).groupBy("row", F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
+    deg = assign_rows(g, row_ranges).groupBy("row", F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
     ks = row_ranges.select("row").crossJoin(spark.range(cols).withColumnRenamed("id", "k"))
     col_ranges = _bounds(ks, _cuts(prefix_sum(deg, "degree", ("row",)), step, cols, "degree", ("row",)), cols, n, "col", ("row",))
     return row_ranges.join(col_ranges, "row").select("row", "col", "row_beg", "row_end", "col_beg", "col_end")
 
 
-def assign(edges: DataFrame, ranges: DataFrame) -> DataFrame:
+def assign(g: Graph, ranges: DataFrame) -> DataFrame:
     """Edges with their (row, col) partition."""
-    c = F.broadcast(ranges.select(F.col("row").alias("_r"), "col", "col_beg", "col_end"))
-    strips = assign_rows(edges, ranges)
-    return strips.join(c, (F.col("row") == F.col("_r")) & (F.col("dst") >= F.col("col_beg")) & (F.col("dst") < F.col("col_end"))).select("src", "dst", "row", "col")
+    strips = assign_rows(g, ranges)
+    return _located(strips, "dst", ranges.select("row", "col", "col_beg", "col_end"), "col", g.n, ("row",)).select("src", "dst", "row", "col")
 
 
 def partition_edge_counts(g: Graph, ranges: DataFrame) -> DataFrame:
     """(row, col, edges) of the partitions that hold any."""
-    return assign(g.edges, ranges).groupBy("row", "col").agg(F.count(F.lit(1)).alias("edges"))
+    return assign(g, ranges).groupBy("row", "col").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def partition_beg_pos(g: Graph, ranges: DataFrame) -> DataFrame:
     """(row, col, v, beg, end): offsets of every vertex of the row, in each of its partitions."""
-    deg = assign(g.edges, ranges).groupBy("row", "col", F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
+    deg = assign(g, ranges).groupBy("row", "col", F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
     every = ranges.select("row", "col", F.explode(F.when(F.col("row_end") > F.col("row_beg"), F.sequence(F.floor(F.col("row_beg") / RANGE), F.floor((F.col("row_end") - 1) / RANGE)))).alias("_part"), "row_beg", "row_end")
     lo, hi = F.greatest(F.col("_part") * RANGE, F.col("row_beg")), F.least((F.col("_part") + 1) * RANGE, F.col("row_end")) - 1
     every = every.select("row", "col", F.explode(F.sequence(lo, hi)).alias("v"))
@@ -133,7 +153,7 @@ def partition_beg_pos(g: Graph, ranges: DataFrame) -> DataFrame:
 
 def write_layout(g: Graph, ranges: DataFrame, path: str, mode: str = "ignore") -> None:
     """Edges by partition, clustered by source: one folder per (row, col), a file for each range of sources or several."""
-    dealt = assign(g.edges, ranges).withColumnsRenamed({"row": "prow", "col": "pcol"}).repartition("prow", "pcol", F.floor(F.col("src") / RANGE))
+    dealt = assign(g, ranges).withColumnsRenamed({"row": "prow", "col": "pcol"}).repartition("prow", "pcol", F.floor(F.col("src") / RANGE))
     dealt.sortWithinPartitions("prow", "pcol", "src", "dst").write.mode(mode).partitionBy("prow", "pcol").parquet(path)
 
 
@@ -165,18 +185,26 @@ def block_chunks(blocks: DataFrame, most: int, useless: int, in_total: bool = Fa
 
     A chunk ends before a block that would make it longer than ``most``, or at a gap: with ``in_total`` once ``useless``
     unrequested blocks have been passed in all, otherwise at a distance of ``useless`` from the last requested block.
-    Greedy and sequential, so each file (``group``) is walked by one task, over its distinct block ids.
+    Greedy and sequential, but a gap that ends any chunk starts afresh: files (``group``) are cut there into stretches,
+    which are walked by as many tasks as there are; only a stretch is walked by one.
     """
-    rows = blocks.select(*(F.col(c).cast("long") for c in group), F.col("blk").cast("long")).distinct()
-    rows = rows.repartition(*group) if group else rows.coalesce(1)
     names = list(group)
+    rows = blocks.select(*(F.col(c).cast("long") for c in group), F.col("blk").cast("long")).distinct().withColumn("_part", F.floor(F.col("blk") / RANGE))
+    # the block before each one: within its range, or the last of an earlier range
+    last = rows.groupBy(*names, "_part").agg(F.max("blk").alias("_last"))
+    before = last.select(*names, "_part", F.lag("_last").over(Window.partitionBy(*names).orderBy("_part")).alias("_before"))
+    prior = F.coalesce(F.lag("blk").over(Window.partitionBy(*names, "_part").orderBy("blk")), F.col("_before"))
+    ends = F.coalesce(F.col("blk") - prior >= min(most, useless + 1 if in_total else useless), F.lit(False))
+    marked = rows.join(before, [*names, "_part"]).withColumn("_cut", ends.cast("long")).drop("_part", "_before")
+    dealt = prefix_sum(marked, "_cut", group, "blk", "_stretch").select(*names, "_stretch", "blk").repartition(*names, "_stretch")
+    schema = [*names, "blk_beg", "blk_end", "requested"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, open_, chunk = None, None, 0
+        key, open_ = None, None
 
         def made(done: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*done)) if done else [()] * (len(names) + 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*names, "chunk", "blk_beg", "blk_end", "requested"])
+            columns = list(zip(*done)) if done else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema)
 
         for batch in batches:
             done = []
@@ -188,14 +216,12 @@ def block_chunks(blocks: DataFrame, most: int, useless: int, in_total: bool = Fa
                         open_ = (beg, b + 1, n + 1, passed)
                         continue
                 if open_:
-                    done.append((*key, chunk, *open_[:3]))
-                    chunk += 1
-                if k != key:
-                    key, chunk = k, 0
-                open_ = (b, b + 1, 1, 0)
+                    done.append((*key[:-1], *open_[:3]))
+                key, open_ = k, (b, b + 1, 1, 0)
             yield made(done)
         if open_:
-            yield made([(*key, chunk, *open_[:3])])
+            yield made([(*key[:-1], *open_[:3])])
 
-    schema = ", ".join(f"{c} bigint" for c in [*names, "chunk", "blk_beg", "blk_end", "requested"])
-    return rows.sortWithinPartitions(*group, "blk").mapInArrow(walk, schema)
+    chunks = dealt.sortWithinPartitions(*names, "_stretch", "blk").mapInArrow(walk, ", ".join(f"{c} bigint" for c in schema))
+    numbered = prefix_sum(chunks.withColumn("_one", F.lit(1).cast("long")), "_one", group, "blk_beg", "chunk")
+    return numbered.select(*names, (F.col("chunk") - 1).alias("chunk"), "blk_beg", "blk_end", "requested")

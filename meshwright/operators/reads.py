@@ -32,7 +32,7 @@ def sorted_runs(trace: DataFrame, at: str, value: str, run: int = RUN) -> DataFr
 def preview(g: Graph, ranges: DataFrame, most: int = 10) -> DataFrame:
     """(row, col, place, src, dst): each partition's first edges by source; shorter partitions have fewer."""
     place = F.row_number().over(Window.partitionBy("row", "col").orderBy("src", "dst"))
-    first = assign(g.edges, ranges).withColumn("place", place).filter(F.col("place") <= most)
+    first = assign(g, ranges).withColumn("place", place).filter(F.col("place") <= most)
     return first.select("row", "col", (F.col("place") - 1).cast("long").alias("place"), "src", "dst")
 
 

@@ -50,6 +50,11 @@ for _f in ("f1", "f4"):
 _add("max_degree_vertex", "f1", lambda g: ops.max_degree_vertex(g.edges), "SELECT src v, count(*) degree FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
 _add("adjacency_sizes", "f2", lambda g: layout.adjacency(g).select("v", F.size("neighbours").cast("long").alias("size"), F.element_at("neighbours", 1).alias("first"), F.element_at("neighbours", -1).alias("last")), "SELECT src v, count(*) size, min(dst) first, max(dst) last FROM e GROUP BY 1")
 
+_add(
+    "adjacency_chunks", "f2", lambda g: layout.adjacency_chunks(g, 16).select("v", "chunk", F.size("neighbours").cast("long").alias("size"), F.element_at("neighbours", 1).alias("first"), F.element_at("neighbours", -1).alias("last")),
+    "SELECT src v, (p // 16)::BIGINT chunk, count(*) size, min(dst) first, max(dst) last FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 p FROM e) GROUP BY 1, 2",
+)
+
 _add(
     "partition_p2d", "f1", lambda g: layout.partition_p2d(g, ROWS, COLS),
     f'SELECT r AS "row", c AS col, r * (n // {ROWS}) row_beg, CASE WHEN r = {ROWS - 1} THEN n ELSE (r + 1) * (n // {ROWS}) END row_end, c * (n // {COLS}) col_beg, CASE WHEN c = {COLS - 1} THEN n ELSE (c + 1) * (n // {COLS}) END col_end FROM range({ROWS}) x(r), range({COLS}) y(c), (SELECT count(*) n FROM vs)',

@@ -34,7 +34,7 @@ def layout_files(g: Graph, ranges: DataFrame, prefix: str) -> DataFrame:
     rows, cols = (ranges.agg(F.max(c)).first()[0] + 1 for c in ("row", "col"))
     part = lambda v: F.floor(F.col(v) / layout.RANGE).alias("part")
     beg = layout.partition_beg_pos(g, ranges).groupBy("row", "col", part("v")).agg(F.sort_array(F.collect_list(F.struct("v", "end"))).alias("x"))
-    csr = layout.assign(g.edges, ranges).groupBy("row", "col", part("src")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("x"))
+    csr = layout.assign(g, ranges).groupBy("row", "col", part("src")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("x"))
     name = lambda kind: F.format_string(f"{prefix}_{kind}.%d_%d_of_{rows}x{cols}.bin", "row", "col")
     none = F.array().cast("array<bigint>")
     first = ranges.select("row", "col", F.lit(-1).cast("long").alias("part"))  # each file begins with a part of its own: the leading 0, or nothing

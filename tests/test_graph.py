@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.operators import graph as ops
-from meshwright.operators import layout
+from meshwright.operators import layout, reads
 from meshwright.operators.components import connected_components
 from meshwright.operators.graph import Graph
 from meshwright.plans import programs
@@ -192,6 +192,84 @@ def test_chunks(spark, in_total):
     assert rows(got, "chunk", "blk_beg", "blk_end", "requested") == want
 
 
+def walked(ids, most, useless, in_total):
+    want, i = [], 0
+    while i < len(ids):
+        beg, end, n, gap = ids[i], ids[i] + 1, 1, 0
+        i += 1
+        while i < len(ids):
+            gap += ids[i] - end
+            if ids[i] + 1 - beg > most or (gap >= useless if in_total else ids[i] - end + 1 >= useless):
+                break
+            end, n, i = ids[i] + 1, n + 1, i + 1
+        want.append((len(want), beg, end, n))
+    return want
+
+
+@pytest.mark.parametrize("most, useless, in_total", [(1, 3, True), (6, 0, False), (6, 1, False), (9, 4, False), (9, 4, True), (2, 50, True)])
+def test_chunks_by_file(spark, monkeypatch, most, useless, in_total):
+    """Files whose blocks spread over many ranges, cut at certain gaps and walked in parts."""
+    monkeypatch.setattr(layout, "RANGE", 8)
+    files = {f: sorted({(i * i * (f + 3) + f) % 211 for i in range(40 * f + 1)}) for f in range(4)}
+    df = spark.createDataFrame([(f, b) for f, ids in files.items() for b in ids], "f int, blk int")
+    got = layout.block_chunks(df, most, useless, in_total, ("f",))
+    want = [(f, *w) for f, ids in files.items() for w in walked(ids, most, useless, in_total)]
+    assert rows(got, "f", "chunk", "blk_beg", "blk_end", "requested") == want
+    assert layout.block_chunks(df.limit(0), most, useless, in_total).count() == 0
+
+
+def test_adjacency_chunks(case):
+    pairs, g = case
+    got = layout.adjacency_chunks(g, 3)
+    lists = defaultdict(list)
+    for r in sorted(got.collect(), key=lambda r: (r["v"], r["chunk"])):
+        assert len(lists[r["v"]]) == 3 * r["chunk"] and 0 < len(r["neighbours"]) <= 3
+        lists[r["v"]] += r["neighbours"]
+    assert sorted(lists.items()) == sorted((v, sorted(b for a, b in pairs if a == v)) for v in {a for a, _ in pairs})
+
+
+def test_reads(case):
+    pairs, g = case
+    order, block, most = sorted(pairs), 4, 2
+    total = -(-len(order) // block)
+    chunks = reads.scan_chunks(g, most, block)
+    want = [(i // most, i, min(i + most, total), 0 if i == 0 else order[i * block][0]) for i in range(0, total, most)]
+    assert rows(chunks, "chunk", "blk_beg", "blk_end", "beg_vert") == want
+    slots = defaultdict(list)
+    for slot, (a, _) in enumerate(order):
+        slots[slot // (block * most), a].append(slot % (block * most))
+    assert rows(reads.clipped(layout.beg_pos(g), chunks, block), "chunk", "v", "beg", "end") == sorted((c, v, min(s), max(s) + 1) for (c, v), s in slots.items())
+    even = [v for v in range(g.n) if v % 2 == 0]
+    assert rows(reads.queue(g.vertices.union(g.vertices), F.col("v") % 2 == 0), "place", "v") == list(enumerate(even))
+    levels = programs.bfs(g, order[0][0])
+    level = {r["v"]: r["level"] for r in levels.collect()}
+    asked = defaultdict(set)
+    for slot, (a, _) in enumerate(order):
+        if a in level:
+            asked[level[a]].add(slot // block)
+    got = reads.level_bytes(g, levels, most, 3, block)
+    made = {lv: walked(sorted(b), most, 3, True) for lv, b in asked.items()}
+    assert rows(got, "level", "blocks", "chunks", "bytes") == sorted((lv, len(asked[lv]), len(w), sum(e - b for _, b, e, _ in w) * block * reads.ID_BYTES) for lv, w in made.items())
+
+
+def test_previews_overlaps_and_runs(spark):
+    pairs = GRAPHS["star"]
+    g = Graph(spark.createDataFrame(pairs, "src long, dst long"))
+    ranges = layout.partition_p2d(g, 3, 2).cache()
+    parts = defaultdict(list)
+    spans = [tuple(r) for r in ranges.select("row", "col", "row_beg", "row_end", "col_beg", "col_end").collect()]
+    for a, b in sorted(pairs):
+        parts[next((i, j) for i, j, x, y, z, w in spans if x <= a < y and z <= b < w)].append((a, b))
+    assert rows(reads.preview(g, ranges, 4), "row", "col", "place", "src", "dst") == sorted((*k, p, *e) for k, es in parts.items() for p, e in enumerate(es[:4]))
+    strips = {(i, x, y) for i, _, x, y, _, _ in spans}
+    assert rows(reads.overlaps(ranges), "row", "col", "other") == sorted((i, j, o) for i, j, _, _, z, w in spans for o, x, y in strips if max(x, z) < min(y, w))
+    values = [(i * 37) % 11 for i in range(21)]
+    got = reads.sorted_runs(spark.createDataFrame(list(enumerate(values)), "at long, value int"), "at", "value", 8)
+    assert [v for _, v in rows(got, "at", "value")] == [v for i in range(0, 21, 8) for v in sorted(values[i : i + 8])]
+    none = Graph(g.edges.limit(0))
+    assert reads.scan_chunks(none, 4).count() == reads.queue(none.vertices, F.lit(True)).count() == 0
+
+
 def test_prefix_sum_spans_ranges(spark):
     df = spark.range(50).selectExpr("id v", "id % 3 g", "id x")
     got = rows(layout.prefix_sum(df, "x", ("g",), width=7), "v", "cum")
